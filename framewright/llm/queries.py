@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .decontamination import benchmark_hits
 from .language_id import identify_languages
 from .line_dedup import drop_repeated_lines
+from .ngram_join import similar_documents
 from .packing import pack_documents
 from .quality_rules import quality_rules
 from .substring_dedup import drop_repeated_windows
@@ -68,6 +69,16 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_documents(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "copy_id", "n_links")
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_substring_dedup": op2_substring_dedup,
@@ -78,6 +89,8 @@ QUERIES = {
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_warc": op8_warc,
     "op9_packing": op9_packing,
+    "op10_ngram_join": op10_ngram_join,
+    "pipeline": pipeline,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
