@@ -16,11 +16,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hot_keys
+from .common import hot_keys, tidy
 
 #: Multiplier of the rolling hash (odd, so it has an inverse), that of a span's size, and symbols handled at once.
 BASE, SIZED, PIECE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 1 << 20
-WORDS_KEPT = 400_000
+WORDS_KEPT = 250_000
 BLOCK = "d long, t int, a long, b long, s0 int, nw int, off int"
 
 
@@ -131,7 +131,7 @@ def block_rows(docs: DataFrame, length: int, k: int, words: bool) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64() if k_ == "long" else pa.int32()) for c, (_, k_) in zip(found, names, strict=True)], names=[n for n, _ in names])
 
     least = F.octet_length("text") >= (2 * length - 1 if words else length)
-    return docs.where(least).select("d", "t", F.col("text").cast("binary").alias("text")).mapInArrow(find, BLOCK)
+    return docs.where(least).select("d", "t", F.col("text").cast("binary").alias("text")).mapInArrow(tidy(find), BLOCK)
 
 
 def shared_blocks(rows: DataFrame, earlier: bool, written) -> DataFrame:
@@ -185,4 +185,4 @@ def packed_texts(docs: DataFrame, *extra: Column) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(z, pa.binary())], names=[*names, "z"])
 
     out = docs.select("doc_id", "d", "t", F.col("text").cast("binary").alias("text"))
-    return out.mapInArrow(squeeze, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, d long, t int, z binary")
+    return out.mapInArrow(tidy(squeeze), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, d long, t int, z binary")

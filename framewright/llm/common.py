@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,3 +63,21 @@ def split_hot(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """Rows of hot keys, and the others."""
     hot = F.broadcast(hot_keys(df, key))
     return df.join(hot, key, "left_semi"), df.join(hot, key, "left_anti")
+
+
+def tidy(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """f, giving the memory of what it remembered back to the system when a task ends, as workers are used again."""
+
+    def run(batches: Iterator) -> Iterator:
+        import ctypes
+        import gc
+
+        import pyarrow as pa
+
+        yield from f(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if hasattr(ctypes.CDLL(None), "malloc_trim"):
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return run

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 #: Bytes of a segment, hidden units of each direction.
 SEGMENT, HIDDEN = 32, 16
 #: The bounded sample that is learned from: documents of each language, and segments of each language drawn from them.
@@ -212,7 +214,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                     scores.append(float(shares[best] / shares.sum()))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("held_out"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
-    return docs.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(label, SCHEMA)
+    return docs.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(tidy(label), SCHEMA)
 
 
 def identify_languages(docs: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .anchors import Sums, WordHashes, keyed, mix, packed_texts
-from .common import materialize, split_hot
+from .common import materialize, split_hot, tidy
 from .components import components
 
 SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.99999999
@@ -74,7 +74,7 @@ def sketches(docs: DataFrame, n: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "d", "t")), pa.array(f, pa.int64()), pa.array(g, pa.int64()), pa.array(size, pa.int32()), pa.array(sig, pa.binary())], names=["doc_id", "d", "t", "f", "g", "size", "sig"])
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, d long, t int, f long, g long, size int, sig binary"
-    return docs.select("doc_id", "d", "t", F.col("text").cast("binary").alias("text")).mapInArrow(sketch, schema)
+    return docs.select("doc_id", "d", "t", F.col("text").cast("binary").alias("text")).mapInArrow(tidy(sketch), schema)
 
 
 def first_paths(classes: DataFrame, runs: int) -> DataFrame:
@@ -90,7 +90,7 @@ def first_paths(classes: DataFrame, runs: int) -> DataFrame:
                     path = mix(sig[:, run % COORDINATES] ^ mix(np.full(1, run + 1, np.uint64)))
                     yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), part.column("id"), bytes8], names=["path", "id", "s8"])
 
-    return classes.select("id", "sig").mapInArrow(walk, "path long, id long, s8 binary")
+    return classes.select("id", "sig").mapInArrow(tidy(walk), "path long, id long, s8 binary")
 
 
 def next_paths(rows: DataFrame) -> DataFrame:
@@ -108,7 +108,7 @@ def next_paths(rows: DataFrame) -> DataFrame:
                 path = mix(seed ^ (token.astype(np.uint64) + np.uint64(1)))
                 yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(np.full(len(s8), branch, np.int32)), pa.array(path.view(np.int64)), batch.column("id"), batch.column("s8")], names=["parent", "branch", "path", "id", "s8"])
 
-    return rows.select("path", "id", "s8").mapInArrow(walk, "parent long, branch int, path long, id long, s8 binary")
+    return rows.select("path", "id", "s8").mapInArrow(tidy(walk), "parent long, branch int, path long, id long, s8 binary")
 
 
 def leaf_buckets(classes: DataFrame, runs: int) -> DataFrame:
@@ -197,7 +197,7 @@ def candidate_edges(leaves: DataFrame) -> DataFrame:
 
     keys = ["path", "x", "y"]
     rows = in_blocks(leaves, "n").select(*keys, "id", "s8")
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "u long, v long")
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(tidy(compare), "u long, v long")
 
 
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
@@ -259,7 +259,7 @@ def verified(groups: DataFrame, n: int, similarity: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(root), pa.array(links.astype(np.int64))], names=["id", "root", "links"])
 
     keys = ["component", "x", "y"]
-    return groups.select(*keys, "id", "block", "weight", "members").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(verify, LINK)
+    return groups.select(*keys, "id", "block", "weight", "members").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(tidy(verify), LINK)
 
 
 def member_sets(rows: DataFrame, n: int) -> DataFrame:
@@ -277,7 +277,7 @@ def member_sets(rows: DataFrame, n: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(sets, pa.binary())], names=[*names, "members"])
 
     schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in names) + ", members binary"
-    return rows.mapInArrow(unpack, schema)
+    return rows.mapInArrow(tidy(unpack), schema)
 
 
 def similar_documents(docs: DataFrame, n: int = SHINGLE, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:

@@ -17,8 +17,10 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from .common import tidy
+
 WINDOW = 1024
-SHARD_DOCS, SHARD_TOKENS = 4096, 4_000_000
+SHARD_DOCS, SHARD_TOKENS = 2048, 2_000_000
 #: Terms asked for each seed, neighbours taken from the index at once, and BM25's constants.
 QUERY_TERMS, NEIGHBOURS, K1, B = 12, 24, 1.2, 0.75
 
@@ -36,11 +38,10 @@ class Encoder:
 
     def __init__(self, file: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(file, encoding="utf-8") as f:
             spec = json.load(f)
-        self.library = Tokenizer.from_file(file)
+        self.file, self.library = file, None
         self.added = [x["content"] for x in spec.get("added_tokens", [])]
         others = [b for b in range(256) if b not in set(PRINTABLE)]
         byte_of = {chr(b): b for b in PRINTABLE} | {chr(256 + i): b for i, b in enumerate(others)}
@@ -49,6 +50,10 @@ class Encoder:
 
     def ids(self, text: str) -> np.ndarray:
         if any(a in text for a in self.added):
+            if self.library is None:
+                from tokenizers import Tokenizer
+
+                self.library = Tokenizer.from_file(self.file)
             return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4")
         return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4")
 
@@ -175,4 +180,4 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFram
         if tokens:
             yield flush()
 
-    return docs.select("doc_id", "text").mapInArrow(pack, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(tidy(pack), SCHEMA)

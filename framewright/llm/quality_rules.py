@@ -82,15 +82,16 @@ def features(docs: DataFrame, repeats: bool = True) -> DataFrame:
     at = [F.array_position("found", F.lit(c)) for c in codes] + [F.size("found") + 1]
     counts = [b - a - 1 for a, b in zip(at, at[1:], strict=False)]
     other = F.col("n_words") - (F.size("found") - len(codes))
-    made = F.struct(
-        "n_words", "word_chars", "n_symbols",
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        "n_repeat_words",
-        F.array(*(x.cast("double") for x in (spaces, extra, F.col("n_symbols"), digits, marks, rest))).alias("classes"),
-        F.array(*(x.cast("double") for x in (*counts, other))).alias("common"),
-    )
-    # A generator of one row: filters on its columns stay above it, or they would repeat all of the above in each use.
-    return rows.select("doc", F.explode(F.array(made)).alias("made")).select("doc", "made.*")
+    made = {
+        "n_words": F.col("n_words"), "word_chars": F.col("word_chars"), "n_symbols": F.col("n_symbols"),
+        "n_dup_lines": (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"),
+        "n_repeat_words": F.col("n_repeat_words"),
+        "classes": F.array(*(x.cast("double") for x in (spaces, extra, F.col("n_symbols"), digits, marks, rest))),
+        "common": F.array(*(x.cast("double") for x in (*counts, other))),
+    }
+    rows = rows.select("doc", *(v.alias(k) for k, v in made.items()))
+    # A generator of one row of plain columns: filters stay above it, or they would repeat all of the above in each use.
+    return rows.select("doc", F.explode(F.array(F.struct(*made))).alias("made")).select("doc", "made.*")
 
 
 def references(found: DataFrame) -> list[tuple[list[float], list[float]]]:

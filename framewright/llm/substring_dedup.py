@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .anchors import BLOCK, Sums, WordHashes, block_rows, by_document, keyed, packed_texts, shared_blocks
-from .common import materialize, shared_dir, split_hot
+from .common import materialize, shared_dir, split_hot, tidy
 
 LENGTH, GRAM = 50, 10
 BATCHES, MOST_RUNS = 3, 2
@@ -80,7 +80,7 @@ def window_hashes(docs: DataFrame, marks: DataFrame, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(h), pa.array(np.full(len(s), d)), pa.array(np.full(len(s), t), pa.int32()), pa.array(s, pa.int32())], names=["a", "h", "d", "t", "s"])
 
     lists = by_document(marks.where("expand").select("d", "t", "a", "s0", "nw").distinct(), "a", "s0", "nw")
-    return packed_texts(docs).join(lists, ["d", "t"]).select("d", "t", "z", "marks").mapInArrow(find, "a long, h long, d long, t int, s int")
+    return packed_texts(docs).join(lists, ["d", "t"]).select("d", "t", "z", "marks").mapInArrow(tidy(find), "a long, h long, d long, t int, s int")
 
 
 def later_windows(windows: DataFrame) -> DataFrame:
@@ -114,7 +114,7 @@ def remove_words(docs: DataFrame, spans: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns[:3]] + [pa.array(columns[3], pa.binary())], names=["doc_id", "n_words", "n_removed", "kept"])
 
     joined = packed_texts(docs).join(by_document(spans, "from", "to"), ["d", "t"], "left").select("doc_id", "z", "marks")
-    return joined.mapInArrow(remove, "doc_id long, n_words long, n_removed long, kept binary")
+    return joined.mapInArrow(tidy(remove), "doc_id long, n_words long, n_removed long, kept binary")
 
 
 def resolve(docs: DataFrame, marks: DataFrame, length: int = LENGTH) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import block_rows, by_document, keyed, packed_texts, shared_blocks
-from .common import materialize
+from .common import materialize, tidy
 
 LENGTH, GRAM = 200, 32
 #: Windows to a slice of a hot anchor's block, and suffixes that a bucket sorts at once (a group stays whole).
@@ -52,7 +52,7 @@ def fragments(docs: DataFrame, marks: DataFrame, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows, strict=True), names, strict=True)], names=[n for n, _ in names])
 
     lists = by_document(marks.where("expand"), "a", "s0", "nw", "off", "hot")
-    return packed_texts(docs).join(lists, ["d", "t"]).select("d", "t", "z", "marks").mapInArrow(cut, FRAGMENT)
+    return packed_texts(docs).join(lists, ["d", "t"]).select("d", "t", "z", "marks").mapInArrow(tidy(cut), FRAGMENT)
 
 
 def equal_suffixes(bodies: list[bytes], group: np.ndarray, length: int) -> list[np.ndarray]:
@@ -118,7 +118,7 @@ def sorted_buckets(pieces: DataFrame, length: int) -> DataFrame:
             yield flush(held)
 
     order = ["lead", "a", "slice"]
-    return pieces.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(sort, "d long, t int, from int, to int")
+    return pieces.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(tidy(sort), "d long, t int, from int, to int")
 
 
 def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
@@ -146,7 +146,7 @@ def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns[:4]] + [pa.array(columns[4], pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     joined = packed_texts(docs).join(by_document(spans, "from", "to"), ["d", "t"], "left").select("doc_id", "z", "marks")
-    return joined.mapInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return joined.mapInArrow(tidy(remove), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def drop_repeated_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:

@@ -19,6 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import tidy
+
 MARK = "▁"
 #: Distinct words and pairs remembered by a worker before it starts anew, and the longest word remembered.
 MEMORY, PAIRS, LONG_WORD = 700_000, 400_000, 64
@@ -159,4 +161,4 @@ def prefix_token_counts(docs: DataFrame, model: str, budget: int = 4096, store:
                 kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), *(pa.array(v, k) for v, k in zip(rows, kinds, strict=True))], names=[x.split()[0] for x in schema.split(", ")])
 
-    return docs.select("doc_id", "text").mapInArrow(count, schema)
+    return docs.select("doc_id", "text").mapInArrow(tidy(count), schema)

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_dir
+from .common import materialize, shared_dir, tidy
 
 INDEX = "file string, offset long, length long, page_id long, url string, digest string, record_type string"
 RECORD = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
@@ -117,7 +117,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, least_revisit_by
         if out is not None:
             out.close()
 
-    return materialize(joined.mapInArrow(write, INDEX), "warc-index")
+    return materialize(joined.mapInArrow(tidy(write), INDEX), "warc-index")
 
 
 def coalesced(ranges: list[tuple[int, int]], gap: int = GAP, most: int = MOST_READ) -> list[tuple[int, int, int, int]]:
@@ -155,4 +155,4 @@ def read_records(index: DataFrame, payloads: bool = True) -> DataFrame:
                     yield _batch(found if payloads else [(*f[:-1], None) for f in found], RECORD)
                 at = end
 
-    return index.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset").mapInArrow(read, RECORD)
+    return index.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset").mapInArrow(tidy(read), RECORD)
