@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from .progress import EPISODE, FORWARD
+from .progress import by_episode, in_order
 
 
 def long_form(frames: DataFrame, vector: str = "q") -> DataFrame:
@@ -20,7 +20,7 @@ def audit(frames: DataFrame, channels: int = 1) -> DataFrame:
     held, fell = F.lit(0), F.lit(0)
     for c in range(channels):
         on = F.col("commands")[c] > 0.5
-        x = x.withColumn(f"fall{c}", (~on & F.lag(on).over(FORWARD)).cast("int"))
+        x = x.withColumn(f"fall{c}", (~on & F.lag(on).over(in_order())).cast("int"))
         held = held + F.max_by(on.cast("int"), "frame")
         fell = fell + F.coalesce(F.sum(f"fall{c}"), F.lit(0))
     return x.groupBy("episode").agg(F.count(F.lit(1)).alias("frames"), held.cast("long").alias("held"), fell.cast("long").alias("releases"))
@@ -143,7 +143,7 @@ def top_dims(attributed: DataFrame, n: int = 8) -> DataFrame:
 
 def parked(frames: DataFrame, eps: float = 1e-3) -> Column:
     """Whether neither the command nor the arm moves in the interval that starts at a frame; null at the last."""
-    return F.greatest(V.distance(F.lead("q").over(FORWARD), F.col("q")), V.distance(F.lead("measured").over(FORWARD), F.col("measured"))) <= eps
+    return F.greatest(V.distance(F.lead("q").over(in_order()), F.col("q")), V.distance(F.lead("measured").over(in_order()), F.col("measured"))) <= eps
 
 
 def supervision_tally(curve: DataFrame, resampled: DataFrame, eps: float = 1e-3) -> DataFrame:
@@ -193,19 +193,19 @@ def spread(steps: DataFrame, by: list[str], column: str = "step") -> DataFrame:
 
 def steps_of(frames: DataFrame) -> DataFrame:
     """(episode, frame, step): the distance to the next frame."""
-    return frames.withColumn("step", V.distance(F.lead("q").over(FORWARD), F.col("q"))).where("step IS NOT NULL").select("episode", "frame", "step")
+    return frames.withColumn("step", V.distance(F.lead("q").over(in_order()), F.col("q"))).where("step IS NOT NULL").select("episode", "frame", "step")
 
 
 def roughness(frames: DataFrame) -> DataFrame:
     """Per episode the root mean square of second and third differences."""
-    x = frames.withColumn("d1", V.minus(F.lead("q").over(FORWARD), F.col("q"))).withColumn("d2", V.minus(F.lead("d1").over(FORWARD), F.col("d1"))).withColumn("d3", V.minus(F.lead("d2").over(FORWARD), F.col("d2")))
+    x = frames.withColumn("d1", V.minus(F.lead("q").over(in_order()), F.col("q"))).withColumn("d2", V.minus(F.lead("d1").over(in_order()), F.col("d1"))).withColumn("d3", V.minus(F.lead("d2").over(in_order()), F.col("d2")))
     square = lambda v: F.aggregate(v, F.lit(0.0), lambda a, b: a + b * b)
     return x.groupBy("episode").agg(F.sqrt(F.avg(square(F.col("d2")))).alias("acceleration"), F.sqrt(F.avg(square(F.col("d3")))).alias("jerk"))
 
 
 def speed_ceilings(frames: DataFrame, quantile: float = 0.99, floor: float = 0.25, fps: float = 30.0) -> DataFrame:
     """Per dimension the quantile of its speed, at least floor times the median of the dimensions that move."""
-    x = frames.withColumn("v", F.transform(V.minus(F.lead("q").over(FORWARD), F.col("q")), lambda d: F.abs(d) * fps))
+    x = frames.withColumn("v", F.transform(V.minus(F.lead("q").over(in_order()), F.col("q")), lambda d: F.abs(d) * fps))
     seen = x.select(F.posexplode("v").alias("dim", "v")).groupBy("dim").agg(F.percentile("v", F.lit(quantile)).alias("seen"))
     low = seen.where("seen > 1e-2").agg(F.coalesce(floor * F.median("seen"), F.lit(0.1)).alias("floor"))
     return seen.join(F.broadcast(low)).select("dim", "seen", F.greatest("seen", "floor").alias("ceiling"), (F.col("seen") < F.col("floor")).alias("raised"))

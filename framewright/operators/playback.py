@@ -11,12 +11,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 
-POINTS = Window.partitionBy("chunk").orderBy("k")
+
+def by_point() -> WindowSpec:
+    return Window.partitionBy("chunk").orderBy("k")
+
 
 
 def schedule(points: DataFrame, speed: float, least: float) -> DataFrame:
@@ -24,15 +27,15 @@ def schedule(points: DataFrame, speed: float, least: float) -> DataFrame:
 
     The first point lies a step ahead, so it gets the time of the step that follows it.
     """
-    near = F.coalesce(V.distance(F.col("q"), F.lag("q").over(POINTS)), V.distance(F.lead("q").over(POINTS), F.col("q")), F.lit(0.0))
+    near = F.coalesce(V.distance(F.col("q"), F.lag("q").over(by_point())), V.distance(F.lead("q").over(by_point()), F.col("q")), F.lit(0.0))
     x = points.withColumn("dt", F.greatest(near / speed, F.lit(least)))
-    return x.withColumn("time", F.sum("dt").over(POINTS.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("dt")
+    return x.withColumn("time", F.sum("dt").over(by_point().rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("dt")
 
 
 def tangents(timed: DataFrame) -> DataFrame:
     """timed points with `m`: the mean of neighbouring slopes, 0 where they disagree, at most three times the smaller."""
-    h = F.lead("time").over(POINTS) - F.col("time")
-    x = timed.withColumn("s", F.transform(V.minus(F.lead("q").over(POINTS), F.col("q")), lambda d: d / h)).withColumn("b", F.lag("s").over(POINTS))
+    h = F.lead("time").over(by_point()) - F.col("time")
+    x = timed.withColumn("s", F.transform(V.minus(F.lead("q").over(by_point()), F.col("q")), lambda d: d / h)).withColumn("b", F.lag("s").over(by_point()))
 
     def inner(a: Column, b: Column) -> Column:
         bound = 3 * F.least(F.abs(a), F.abs(b))
@@ -45,7 +48,7 @@ def tangents(timed: DataFrame) -> DataFrame:
 
 def evaluate(curve: DataFrame, at: DataFrame) -> DataFrame:
     """Positions and velocities of timed points with tangents at (chunk, tau); ends are held, with no velocity."""
-    nexts = [F.lead(c).over(POINTS).alias(f"next_{c}") for c in ("time", "q", "m")]
+    nexts = [F.lead(c).over(by_point()).alias(f"next_{c}") for c in ("time", "q", "m")]
     k = curve.select("chunk", "time", F.struct("k", "time", "q", "m", *nexts).alias("p"), F.min("time").over(Window.partitionBy("chunk")).alias("start"))
     left = k.select("chunk", F.col("time").alias("tau"), F.lit(0).alias("kind"), "p", "start")
     right = at.select("chunk", "tau", F.lit(1).alias("kind"), F.lit(None).cast(k.schema["p"].dataType).alias("p"), F.lit(None).cast("double").alias("start"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
@@ -42,18 +42,28 @@ def config_from_lineage(report: dict) -> ProgressConfig:
     return ProgressConfig(metric=c.get("metric", "arc"), min_dwell=c["min_dwell_frames"], deadzone=c["deadzone"], approach=c["approach_frames"], span=int(round(span)), horizon=c["action_horizon"], **rest)
 
 
-EPISODE = Window.partitionBy("episode")
-FORWARD = EPISODE.orderBy("frame")
-BACKWARD = EPISODE.orderBy(F.desc("frame"))
-BEFORE = FORWARD.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+def by_episode() -> WindowSpec:
+    return Window.partitionBy("episode")
+
+
+def in_order() -> WindowSpec:
+    return by_episode().orderBy("frame")
+
+
+def backwards() -> WindowSpec:
+    return by_episode().orderBy(F.desc("frame"))
+
+
+def up_to_here() -> WindowSpec:
+    return in_order().rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
 def _channel(frames: DataFrame, channel: int, cfg: ProgressConfig) -> dict[str, Column]:
     """Per frame: whether this channel's command rises or falls here, and how long until the feedback follows."""
     on = F.col("commands")[channel] > 0.5
-    was = F.lag(on).over(FORWARD)
+    was = F.lag(on).over(in_order())
     held = F.col("feedback")[channel] > cfg.threshold
-    following = BACKWARD.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    following = backwards().rowsBetween(Window.unboundedPreceding, Window.currentRow)
     above = F.min(F.when(held, F.col("frame"))).over(following)
     below = F.min(F.when(~held, F.col("frame"))).over(following)
     return {"rise": on & ~was, "fall": ~on & was, "above": above, "below": below}
@@ -64,7 +74,7 @@ def event_windows(frames: DataFrame, cfg: ProgressConfig = ProgressConfig(), cha
     crosses the threshold, at least min_dwell and at most max_dwell frames; sealed may lie past the last frame."""
     parts = []
     for c in range(channels):
-        x = frames.select("episode", "frame", F.max("frame").over(EPISODE).alias("last"), *(v.alias(k) for k, v in _channel(frames, c, cfg).items()))
+        x = frames.select("episode", "frame", F.max("frame").over(by_episode()).alias("last"), *(v.alias(k) for k, v in _channel(frames, c, cfg).items()))
         hit = F.when(F.col("rise"), F.col("above")).otherwise(F.col("below"))
         measured = F.coalesce(hit - F.col("frame"), F.lit(cfg.max_dwell))
         x = x.where("rise or fall").withColumn("measured", measured)
@@ -90,7 +100,7 @@ def progress_curve(frames: DataFrame, cfg: ProgressConfig = ProgressConfig(), ch
     and so no progress.
     """
     q = V.weighted(F.col("q"), cfg.weights)
-    x = frames.withColumn("last", F.max("frame").over(EPISODE))
+    x = frames.withColumn("last", F.max("frame").over(by_episode()))
     edge, end = F.lit(False), F.lit(None).cast("long")
     for c in range(channels):
         ch = _channel(frames, c, cfg)
@@ -100,32 +110,32 @@ def progress_curve(frames: DataFrame, cfg: ProgressConfig = ProgressConfig(), ch
         end = F.greatest(end, own)
     x = x.withColumn("qw", q).withColumn("edge", edge).withColumn("end", end)
     if cfg.metric == "curvature":
-        ahead, behind = F.lead("qw").over(FORWARD), F.lag("qw").over(FORWARD)
+        ahead, behind = F.lead("qw").over(in_order()), F.lag("qw").over(in_order())
         bend = V.norm(V.minus(V.minus(ahead, F.col("qw")), V.minus(F.col("qw"), behind)))
         x = x.withColumn("bend", bend)
-        raw = F.power(F.when(F.col("frame") == 0, F.lead("bend").over(FORWARD)).otherwise(F.col("bend")) + 1e-12, 1 / 3)
+        raw = F.power(F.when(F.col("frame") == 0, F.lead("bend").over(in_order())).otherwise(F.col("bend")) + 1e-12, 1 / 3)
     else:
-        raw = V.distance(F.lead("qw").over(FORWARD), F.col("qw"))
+        raw = V.distance(F.lead("qw").over(in_order()), F.col("qw"))
     inside = F.col("frame") < F.col("last")
     x = x.withColumn("raw", F.when(inside, raw))
-    dwell = inside & F.coalesce(F.max("end").over(BEFORE) > F.col("frame"), F.lit(False))
-    near = F.max(F.col("edge").cast("int")).over(FORWARD.rowsBetween(1, cfg.approach)) == 1
+    dwell = inside & F.coalesce(F.max("end").over(up_to_here()) > F.col("frame"), F.lit(False))
+    near = F.max(F.col("edge").cast("int")).over(in_order().rowsBetween(1, cfg.approach)) == 1
     x = x.withColumn("dwell", dwell).withColumn("approach", inside & ~F.col("dwell") & F.coalesce(near, F.lit(False)))
     x = x.withColumn("event", F.col("dwell") | F.col("approach"))
     free = F.when(F.col("event"), 0.0).when(inside, F.greatest(F.col("raw") - cfg.deadzone, F.lit(0.0)))
     x = x.withColumn("free", free)
-    n_free = F.sum(F.when(inside & ~F.col("event") & F.col("raw").isNotNull(), 1).otherwise(0)).over(EPISODE)
-    n = F.count("raw").over(EPISODE)
-    x = x.withColumn("n_free", n_free).withColumn("n", n).withColumn("total_free", F.coalesce(F.sum("free").over(EPISODE), F.lit(0.0)))
+    n_free = F.sum(F.when(inside & ~F.col("event") & F.col("raw").isNotNull(), 1).otherwise(0)).over(by_episode())
+    n = F.count("raw").over(by_episode())
+    x = x.withColumn("n_free", n_free).withColumn("n", n).withColumn("total_free", F.coalesce(F.sum("free").over(by_episode()), F.lit(0.0)))
     step = F.when((F.col("n_free") <= 0) | (F.col("total_free") <= 0), F.greatest("total_free", F.lit(1.0)) / F.greatest("n", F.lit(1)))
     x = x.withColumn("step", step.otherwise(F.col("total_free") * cfg.frames_per_step / F.col("n_free")))
-    starts = (F.col("event") & ~F.coalesce(F.lag("event").over(FORWARD), F.lit(False))).cast("int")
-    x = x.withColumn("start", starts).withColumn("island", F.when(F.col("event"), F.sum("start").over(BEFORE)))
+    starts = (F.col("event") & ~F.coalesce(F.lag("event").over(in_order()), F.lit(False))).cast("int")
+    x = x.withColumn("start", starts).withColumn("island", F.when(F.col("event"), F.sum("start").over(up_to_here())))
     x = x.withColumn("run", F.when(F.col("event"), F.count(F.lit(1)).over(Window.partitionBy("episode", "island"))))
     ds = F.when(F.col("event"), F.col("step") * F.least(F.lit(cfg.event_points), F.col("run")) / F.col("run")).otherwise(F.col("free"))
     x = x.withColumn("ds", F.when(F.col("raw").isNotNull(), ds))
-    s = F.coalesce(F.sum("ds").over(FORWARD.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    x = x.withColumn("s", s).withColumn("total", F.coalesce(F.sum("ds").over(EPISODE), F.lit(0.0)))
+    s = F.coalesce(F.sum("ds").over(in_order().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    x = x.withColumn("s", s).withColumn("total", F.coalesce(F.sum("ds").over(by_episode()), F.lit(0.0)))
     return x.drop("qw", "edge", "end", "bend", "free", "start", "n_free", "total_free", "n")
 
 
@@ -143,15 +153,15 @@ def curve_summary(curve: DataFrame) -> DataFrame:
 
 def knots(curve: DataFrame) -> DataFrame:
     """The curve with tangents `m` of a shape-preserving cubic through q, and its next knot (null at the last)."""
-    x = curve.withColumn("slope", V.minus(F.lead("q").over(FORWARD), F.col("q")))
-    x = x.withColumn("back", F.lag("slope").over(FORWARD))
-    one, two = F.lead("slope").over(FORWARD), F.lag("back").over(FORWARD)
+    x = curve.withColumn("slope", V.minus(F.lead("q").over(in_order()), F.col("q")))
+    x = x.withColumn("back", F.lag("slope").over(in_order()))
+    one, two = F.lead("slope").over(in_order()), F.lag("back").over(in_order())
     first = F.when(one.isNull(), F.col("slope")).otherwise(F.zip_with("slope", one, V.end_slope))
     last = F.when(two.isNull(), F.col("back")).otherwise(F.zip_with("back", two, V.end_slope))
     x = x.withColumn("m", F.when(F.col("last") == 0, F.transform("q", lambda v: v * 0)).when(F.col("frame") == 0, first).when(F.col("slope").isNull(), last).otherwise(F.zip_with("back", "slope", V.harmonic_slope)))
     x = x.withColumn("x", F.col("s") + F.col("frame") * F.greatest("total", F.lit(1.0)) * 1e-12)
-    nexts = [F.lead(c).over(FORWARD).alias(f"next_{c}") for c in ("x", "q", "m", "commands", "event")]
-    before = F.lag("event").over(FORWARD).alias("before_event")
+    nexts = [F.lead(c).over(in_order()).alias(f"next_{c}") for c in ("x", "q", "m", "commands", "event")]
+    before = F.lag("event").over(in_order()).alias("before_event")
     return x.select("episode", "frame", "x", "q", "m", "commands", "event", "last", "total", "step", "s", before, *nexts)
 
 
@@ -212,6 +222,6 @@ def unflatten(chunk: Column, width: int) -> Column:
 
 def still_until(frames: DataFrame, eps: float = 1e-3) -> DataFrame:
     """(episode, still): the first interval in which the arm moves or is told to by more than eps; frames if none does."""
-    step = F.greatest(V.distance(F.lead("q").over(FORWARD), F.col("q")), V.distance(F.lead("measured").over(FORWARD), F.col("measured")))
+    step = F.greatest(V.distance(F.lead("q").over(in_order()), F.col("q")), V.distance(F.lead("measured").over(in_order()), F.col("measured")))
     x = frames.withColumn("step", step)
     return x.groupBy("episode").agg(F.coalesce(F.min(F.when(F.col("step") > eps, F.col("frame"))), F.count(F.lit(1))).alias("still"))

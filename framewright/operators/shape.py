@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from .progress import BEFORE, EPISODE, FORWARD, knots, located
+from .progress import up_to_here, by_episode, in_order, knots, located
 
 
 def local_shape(frames: DataFrame, w: int = 15, fps: float = 30.0) -> DataFrame:
     """(episode, frame, path, net, tau, speed) over the frames at most w away, fewer at the ends."""
-    x = frames.withColumn("step", V.distance(F.col("q"), F.lag("q").over(FORWARD)))
-    x = x.withColumn("s", F.coalesce(F.sum("step").over(BEFORE), F.lit(0.0)))
-    around = FORWARD.rowsBetween(-w, w)
+    x = frames.withColumn("step", V.distance(F.col("q"), F.lag("q").over(in_order())))
+    x = x.withColumn("s", F.coalesce(F.sum("step").over(up_to_here()), F.lit(0.0)))
+    around = in_order().rowsBetween(-w, w)
     ends = [f(c).over(around) for c in ("s", "q", "frame") for f in (F.first, F.last)]
     x = x.select("episode", "frame", *(e.alias(n) for e, n in zip(ends, ("s0", "s1", "q0", "q1", "f0", "f1"), strict=True)))
     path, net = F.col("s1") - F.col("s0"), V.distance(F.col("q1"), F.col("q0"))
@@ -79,15 +79,15 @@ def phase_density(shape: DataFrame, density: DataFrame) -> DataFrame:
 
 def _density(frames: DataFrame, exponent: float) -> DataFrame:
     """(episode, at, c): running sums of the curvature density, one more entry than frames."""
-    bend = V.norm(V.minus(V.minus(F.lead("q").over(FORWARD), F.col("q")), V.minus(F.col("q"), F.lag("q").over(FORWARD))))
-    x = frames.withColumn("bend", bend).withColumn("bend", F.coalesce("bend", F.lead("bend").over(FORWARD), F.lag("bend").over(FORWARD)))
-    x = x.withColumn("c", F.sum(F.power(F.col("bend") + 1e-12, exponent)).over(BEFORE)).select("episode", (F.col("frame") + 1).alias("at"), "c")
+    bend = V.norm(V.minus(V.minus(F.lead("q").over(in_order()), F.col("q")), V.minus(F.col("q"), F.lag("q").over(in_order()))))
+    x = frames.withColumn("bend", bend).withColumn("bend", F.coalesce("bend", F.lead("bend").over(in_order()), F.lag("bend").over(in_order())))
+    x = x.withColumn("c", F.sum(F.power(F.col("bend") + 1e-12, exponent)).over(up_to_here())).select("episode", (F.col("frame") + 1).alias("at"), "c")
     return x.unionByName(frames.where("frame = 0").select("episode", F.lit(0).cast("long").alias("at"), F.lit(0.0).alias("c"))).withColumn("c", F.col("c") + F.col("at") * 1e-12)
 
 
 def _arc(frames: DataFrame) -> DataFrame:
-    step = V.distance(F.col("q"), F.lag("q").over(FORWARD))
-    x = frames.withColumn("step", step).withColumn("c", F.coalesce(F.sum("step").over(BEFORE), F.lit(0.0)) + F.col("frame") * 1e-12)
+    step = V.distance(F.col("q"), F.lag("q").over(in_order()))
+    x = frames.withColumn("step", step).withColumn("c", F.coalesce(F.sum("step").over(up_to_here()), F.lit(0.0)) + F.col("frame") * 1e-12)
     return x.select("episode", F.col("frame").alias("at"), "c")
 
 
@@ -101,18 +101,18 @@ def keypoints(frames: DataFrame, rule: str, n: int, min_gap: float = 1.0, expone
     if rule == "time":
         return grid.select("episode", "i", (F.col("i") * F.col("last") / (n - 1)).alias("position"))
     c = _arc(frames) if rule == "arc" else _density(frames, exponent)
-    w = EPISODE.orderBy("at")
-    c = c.select("episode", F.col("at").alias("frame"), F.col("c").alias("x"), F.lead("c").over(w).alias("next_x"), F.max("c").over(EPISODE).alias("top"))
+    w = by_episode().orderBy("at")
+    c = c.select("episode", F.col("at").alias("frame"), F.col("c").alias("x"), F.lead("c").over(w).alias("next_x"), F.max("c").over(by_episode()).alias("top"))
     ends = c.where("frame = 0").select("episode", "top")
     targets = grid.join(ends, "episode").select("episode", "i", "last", (F.col("i") * F.col("top") / (n - 1)).alias("target"))
     out = located(c, targets).select("episode", "i", "last", F.col("t").alias("position"))
     if rule == "arc" or min_gap <= 0:
         return out.select("episode", "i", "position")
     # max over j <= i of (p[j] + (i - j) gap) is a running maximum of p[j] - j gap
-    order = EPISODE.orderBy("i")
+    order = by_episode().orderBy("i")
     pushed = F.max(F.col("position") - F.col("i") * min_gap).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) + F.col("i") * min_gap
-    out = out.withColumn("pushed", pushed).withColumn("end", F.max("pushed").over(EPISODE))
-    back = EPISODE.orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = out.withColumn("pushed", pushed).withColumn("end", F.max("pushed").over(by_episode()))
+    back = by_episode().orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     pulled = F.min(F.col("pushed") - F.col("i") * min_gap).over(back) + F.col("i") * min_gap
     clipped = F.least(F.greatest(pulled, F.lit(0.0)), F.col("last").cast("double"))
     return out.select("episode", "i", F.when(F.col("end") > F.col("last"), clipped).otherwise(F.col("pushed")).alias("position"))
@@ -129,9 +129,9 @@ def reconstruct(frames: DataFrame, placed: DataFrame, how: str = "linear") -> Da
     rows = rows.where("n > 1").select("episode", "frame").unionByName(ends).distinct().withColumn("key", F.lit(True))
     x = frames.join(rows, ["episode", "frame"], "left")
     k = x.where("key").select("episode", "frame", "q")
-    k = k.withColumn("h", F.lead("frame").over(FORWARD) - F.col("frame")).withColumn("d", F.transform(V.minus(F.lead("q").over(FORWARD), F.col("q")), lambda v: v / F.col("h")))
+    k = k.withColumn("h", F.lead("frame").over(in_order()) - F.col("frame")).withColumn("d", F.transform(V.minus(F.lead("q").over(in_order()), F.col("q")), lambda v: v / F.col("h")))
     if how == "pchip":
-        k = k.withColumn("hb", F.lag("h").over(FORWARD)).withColumn("db", F.lag("d").over(FORWARD))
+        k = k.withColumn("hb", F.lag("h").over(in_order())).withColumn("db", F.lag("d").over(in_order()))
         h, hb = F.col("h"), F.col("hb")
         inner = F.zip_with("db", "d", lambda a, b: F.when(a * b > 0, 3 * (h + hb) / ((2 * h + hb) / a + (h + 2 * hb) / b)).otherwise(0.0))
 
@@ -142,15 +142,15 @@ def reconstruct(frames: DataFrame, placed: DataFrame, how: str = "linear") -> Da
 
             return F.when(far.isNull(), near).otherwise(F.zip_with(near, far, one))
 
-        first = end(F.col("d"), F.lead("d").over(FORWARD), h, F.lead("h").over(FORWARD))
-        final = end(F.col("db"), F.lag("db").over(FORWARD), hb, F.lag("hb").over(FORWARD))
+        first = end(F.col("d"), F.lead("d").over(in_order()), h, F.lead("h").over(in_order()))
+        final = end(F.col("db"), F.lag("db").over(in_order()), hb, F.lag("hb").over(in_order()))
         k = k.withColumn("m", F.when(F.col("db").isNull(), first).when(F.col("d").isNull(), final).otherwise(inner))
     else:
         k = k.withColumn("m", F.col("d"))
-    nexts = [F.lead(c).over(FORWARD).alias(f"next_{c}") for c in ("q", "m")]
+    nexts = [F.lead(c).over(in_order()).alias(f"next_{c}") for c in ("q", "m")]
     k = k.select("episode", "frame", F.struct("frame", "q", "h", "m", *nexts).alias("k"))
     x = x.select("episode", "frame", "q").join(k, ["episode", "frame"], "left")
-    x = x.withColumn("k", F.last("k", ignorenulls=True).over(BEFORE))
+    x = x.withColumn("k", F.last("k", ignorenulls=True).over(up_to_here()))
     u = (F.col("frame") - F.col("k.frame")) / F.col("k.h")
     if how == "pchip":
         parts = F.arrays_zip(F.col("k.q").alias("p0"), F.col("k.next_q").alias("p1"), F.col("k.m").alias("m0"), F.col("k.next_m").alias("m1"))
@@ -175,7 +175,7 @@ def budget_errors(frames: DataFrame, rules: list[str], budgets: list[int], how:
 def crowding(frames: DataFrame, n: int) -> DataFrame:
     """(episode, crowded): share of neighbouring uncapped curvature keypoints closer than one frame."""
     p = keypoints(frames, "curvature", n, min_gap=0.0)
-    gap = F.col("position") - F.lag("position").over(EPISODE.orderBy("i"))
+    gap = F.col("position") - F.lag("position").over(by_episode().orderBy("i"))
     return p.withColumn("gap", gap).groupBy("episode").agg(F.avg((F.col("gap") < 1).cast("int")).alias("crowded"))
 
 
@@ -208,8 +208,8 @@ def nearest_on_path(points: DataFrame, path: DataFrame) -> DataFrame:
 
 def path_ahead(frames: DataFrame, wanted: DataFrame, margin: float = 0.25) -> DataFrame:
     """wanted (episode, frame, arc) with `until`: the last frame of the recorded path that covers arc and a margin."""
-    x = frames.withColumn("step", V.distance(F.col("q"), F.lag("q").over(FORWARD))).withColumn("s", F.coalesce(F.sum("step").over(BEFORE), F.lit(0.0)))
-    x = x.select("episode", "frame", F.col("s").alias("x"), F.lead("s").over(FORWARD).alias("next_x"), F.max("frame").over(EPISODE).alias("last"))
+    x = frames.withColumn("step", V.distance(F.col("q"), F.lag("q").over(in_order()))).withColumn("s", F.coalesce(F.sum("step").over(up_to_here()), F.lit(0.0)))
+    x = x.select("episode", "frame", F.col("s").alias("x"), F.lead("s").over(in_order()).alias("next_x"), F.max("frame").over(by_episode()).alias("last"))
     start = wanted.join(x.select("episode", "frame", F.col("x").alias("s")), ["episode", "frame"])
     targets = start.select("episode", F.col("frame").alias("start"), (F.col("s") + F.col("arc") * (1 + margin)).alias("target"))
     found = located(x, targets)
@@ -228,7 +228,7 @@ def smoothed(frames: DataFrame, size: int = 9) -> DataFrame:
     m = size // 2
     scale = (2 * m - 1) * (2 * m + 1) * (2 * m + 3) / 3
     weights = [(3 * m * m + 3 * m - 1 - 5 * i * i) / scale for i in range(-m, m + 1)]
-    rows = F.collect_list("q").over(FORWARD.rowsBetween(-m, m))
+    rows = F.collect_list("q").over(in_order().rowsBetween(-m, m))
     x = frames.withColumn("near", rows)
     fit = F.aggregate(F.zip_with("near", F.array(*map(F.lit, weights)), lambda v, w: F.transform(v, lambda y: y * w)), F.transform("q", lambda y: y * 0), lambda s, v: F.zip_with(s, v, lambda a, b: a + b))
     return x.withColumn("smooth", F.when(F.size("near") == size, fit)).drop("near")

@@ -99,18 +99,28 @@ def paged_lines(lines: DataFrame, marker: str = r"^=+ page (\d+) =+$") -> DataFr
     return x.where(number == "")
 
 
+def listing(spark: SparkSession, path: str) -> DataFrame:
+    """(file, length) of all files below a folder, from the file system's own listing; empty files have no splits, so
+    a scan would not see them."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    top, found, files = fs.getFileStatus(root).getPath().toString() + "/", [], fs.listFiles(root, True)
+    while files.hasNext():
+        f = files.next()
+        found.append((f.getPath().toString().removeprefix(top), f.getLen()))
+    return spark.createDataFrame(found, "file string, length long")
+
+
 def folder_sizes(spark: SparkSession, path: str) -> DataFrame:
-    """(part, files, bytes) of the top-level parts of a folder, without reading contents."""
-    x = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
-    part = F.regexp_extract("path", f"{path.rstrip('/')}/([^/]+)", 1)
-    return x.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
+    """(part, files, bytes) of the top-level parts of a folder."""
+    part = F.substring_index("file", "/", 1)
+    return listing(spark, path).groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
 
 
 def missing_files(spark: SparkSession, path: str, wanted: list[str]) -> DataFrame:
     """(file, problem) of the wanted files that a folder lacks or has empty."""
-    x = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.regexp_extract("path", f"{path.rstrip('/')}/(.+)", 1).alias("file"), "length")
     want = spark.createDataFrame([(w,) for w in wanted], "file string")
-    return want.join(x, "file", "left").where("length IS NULL OR length = 0").select("file", F.when(F.col("length").isNull(), "missing").otherwise("empty").alias("problem"))
+    return want.join(listing(spark, path), "file", "left").where("length IS NULL OR length = 0").select("file", F.when(F.col("length").isNull(), "missing").otherwise("empty").alias("problem"))
 
 
 def append_log(df: DataFrame, path: str) -> None:
