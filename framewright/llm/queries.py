@@ -10,7 +10,7 @@ from .language_id import identify_languages
 from .line_dedup import drop_repeated_lines
 from .ngram_join import similar_documents
 from .packing import pack_documents
-from .quality_rules import quality_rules
+from .quality_rules import COMMON_WORDS, LEAST_CHARS, LEAST_WORDS, MOST_CLASS_DISTANCE, MOST_WORD_DISTANCE, quality_rules
 from .substring_dedup import drop_repeated_windows
 from .suffix_dedup import drop_repeated_substrings
 from .token_counts import prefix_token_counts
@@ -96,7 +96,52 @@ QUERIES = {
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
+_WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+_COUNT = "(length(t) - length(regexp_replace(t, '{}', '', 'g')))"
+_CLASSES = ["chars - word_chars", "strlen(t) - chars", "n_symbols", _COUNT.format("[0-9]"), _COUNT.format(r"[!\x22''()+,./:;=?@\[\\\]^_`{}~-]")]
+
 ORACLES = {
+    "op2_substring_dedup": f"""
+        WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+        win AS (SELECT doc_id, i, md5(array_to_string(w[i : i + 49], ' ')) AS h FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 49)) AS i FROM d WHERE len(w) >= 50)),
+        firsts AS (SELECT h, min(doc_id) AS first FROM win GROUP BY h),
+        gone AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 49)) AS p FROM win JOIN firsts USING (h) WHERE doc_id > first),
+        lists AS (SELECT doc_id, list(p) AS gone FROM gone GROUP BY doc_id),
+        pos AS (SELECT doc_id, w[p] AS word, p FROM (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS p FROM d)),
+        kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS text FROM pos ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+        FROM d LEFT JOIN lists USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+    "op3_quality_rules": rf"""
+        WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
+        tri AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS n FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 2)) AS i FROM d WHERE len(w) >= 3)),
+        rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM tri WHERE n > 1) GROUP BY doc_id),
+        b0 AS (SELECT *, length(t) AS chars, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, {_COUNT.format("[#*$%&|<>]")}::BIGINT AS n_symbols,
+            list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS lines FROM d),
+        b AS (SELECT b0.*, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words FROM b0 LEFT JOIN rep USING (doc_id)),
+        c0 AS (SELECT doc_id, lang, chars, {", ".join(f"({x})::DOUBLE AS k{i}" for i, x in enumerate(_CLASSES))} FROM b),
+        c AS (SELECT doc_id, lang, chars, unnest(['0', '1', '2', '3', '4', '5']) AS k, unnest([k0, k1, k2, k3, k4, greatest(0, chars - k0 - k1 - k2 - k3 - k4)]) AS n FROM c0),
+        hit AS (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(w) AS word FROM d) WHERE word IN ({", ".join(f"'{w}'" for w in COMMON_WORDS)}) GROUP BY ALL),
+        words AS (SELECT unnest([{", ".join(f"'{w}'" for w in COMMON_WORDS)}]) AS word),
+        g AS (SELECT d.doc_id, lang, word AS k, coalesce(hit.n, 0)::DOUBLE AS n FROM d CROSS JOIN words LEFT JOIN hit USING (doc_id, word)
+            UNION ALL SELECT d.doc_id, lang, ' other', len(w) - coalesce((SELECT sum(n) FROM hit WHERE hit.doc_id = d.doc_id), 0) FROM d),
+        h AS (SELECT 'c' AS kind, doc_id, lang, k, n FROM c UNION ALL SELECT 'w', doc_id, lang, k, n FROM g),
+        r AS (SELECT kind, lang, k, sum(n) / sum(sum(n)) OVER (PARTITION BY kind, lang) AS q FROM h WHERE lang IS NOT NULL GROUP BY kind, lang, k),
+        p AS (SELECT kind, doc_id, k, n / nullif(sum(n) OVER (PARTITION BY kind, doc_id), 0) AS p FROM h),
+        js AS (SELECT kind, doc_id, r.lang, sqrt(greatest(0, sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2)) AS js
+            FROM p JOIN r USING (kind, k) GROUP BY ALL),
+        near AS (SELECT doc_id, min(js) FILTER (WHERE kind = 'c') AS jc, min(js) FILTER (WHERE kind = 'w') AS jw FROM js GROUP BY doc_id)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+            NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words)
+            AND (chars < {LEAST_CHARS} OR n_words < {LEAST_WORDS} OR jc <= {MOST_CLASS_DISTANCE}) AND (n_words < {LEAST_WORDS} OR jw <= {MOST_WORD_DISTANCE}) AS kept
+        FROM b LEFT JOIN near USING (doc_id)""",
+    "op8_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+        f AS (SELECT h, min(page_id) AS first FROM p GROUP BY h),
+        hex AS (SELECT page_id, h, first, sha1(h) AS x FROM p JOIN f USING (h))
+        SELECT page_id, strlen(h)::BIGINT AS payload_bytes,
+            array_to_string(list_transform(generate_series(0, 31), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                (((('0x' || substr(x, (i // 4) * 5 + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31) + 1)::INT, 1)), '') AS payload_digest,
+            CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM hex""",
     "op5_line_dedup": f"""
         WITH lines AS (
             SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
