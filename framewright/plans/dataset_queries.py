@@ -249,7 +249,7 @@ def systematic_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.systematic_sample(R.supplier_recordings(spark, sf_dir), 30)
 
 
-@query("SELECT * FROM (VALUES (0, 12::BIGINT), (1, 12::BIGINT)) t(task, n)")
+@query("SELECT (l_suppkey % 2)::INT AS task, least(12, count(DISTINCT l_suppkey))::BIGINT AS n FROM lineitem GROUP BY 1")
 def stratified_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizes of a random sample of 12 episodes of each task."""
     e = R.supplier_recordings(spark, sf_dir).select("episode", (F.col("episode") % 2).cast("int").alias("task")).distinct()
