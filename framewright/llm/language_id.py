@@ -188,7 +188,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             for at in range(0, len(batch), 500):
                 part = batch.slice(at, 500)
                 texts = [t or "" for t in part.column("text").to_pylist()]
-                spoken = [any(map(str.isalpha, t)) for t in texts]
+                spoken = [bool(model.languages) and any(map(str.isalpha, t)) for t in texts]
                 segments = [segments_of(t) if s else [] for t, s in zip(texts, spoken, strict=True)]
                 new = list({s for own in segments for s in own if s not in known})
                 if len(known) + len(new) > MEMORY:
@@ -203,7 +203,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                     sums[start : start + len(new)] = model.segment_sums(new)
                 langs, scores = [], []
                 for text_has, own in zip(spoken, segments, strict=True):
-                    if not text_has or not model.languages:
+                    if not text_has:
                         langs.append("und")
                         scores.append(0.0)
                         continue
