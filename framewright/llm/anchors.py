@@ -21,7 +21,7 @@ from .common import hot_keys, tidy
 #: Multiplier of the rolling hash (odd, so it has an inverse), that of a span's size, and symbols handled at once.
 BASE, SIZED, PIECE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 1 << 20
 WORDS_KEPT = 250_000
-BLOCK = "d long, t int, a long, b long, s0 int, nw int, off int"
+BLOCK = "d long, t int, a long, b long, s0 int, nw int, off int, rep int"
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -70,7 +70,9 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def blocks_of(symbols: np.ndarray, length: int, k: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(a, b, s0, nw, off) of the blocks: hashes of anchor and block, first window, number of windows, anchor's offset."""
+    """(a, b, s0, nw, off, rep) of the blocks: hashes of anchor and block, first window, number of windows, anchor's
+    offset, and how often the block comes in a row. Where a text repeats itself, equal blocks follow each other; they
+    make one row, or a page of one word would make a hot key of its own."""
     low = np.uint64((1 << 24) - 1)
     for at in range(0, max(0, len(symbols) - length + 1), PIECE):
         sums = Sums(symbols[at : at + PIECE + length - 1])
@@ -80,7 +82,9 @@ def blocks_of(symbols: np.ndarray, length: int, k: int) -> Iterator[tuple[np.nda
         nw = np.diff(np.append(s0, len(anchor)))
         off = anchor[s0] - s0
         b = mix(sums.spans(s0, nw + length - 1) ^ (off.astype(np.uint64) * np.uint64(BASE)))
-        yield grams[anchor[s0]], b, s0 + at, nw, off
+        a = grams[anchor[s0]]
+        new = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (nw[1:] != nw[:-1]) | (off[1:] != off[:-1]))))
+        yield a[new], b[new], s0[new] + at, nw[new], off[new], np.diff(np.append(new, len(a)))
 
 
 class WordHashes(dict):
@@ -120,11 +124,11 @@ def block_rows(docs: DataFrame, length: int, k: int, words: bool) -> DataFrame:
         for batch in batches:
             for at in range(0, len(batch), 500):
                 part = batch.slice(at, 500)
-                found: list[list[np.ndarray]] = [[] for _ in range(7)]
+                found: list[list[np.ndarray]] = [[] for _ in range(8)]
                 for d, t, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     symbols = hashes.symbols(text.split()) if words else table[np.frombuffer(text, np.uint8)]
-                    for a, b, s0, nw, off in blocks_of(symbols, length, k):
-                        for column, x in zip(found, (np.full(len(a), d), np.full(len(a), t), a.view(np.int64), b.view(np.int64), s0, nw, off), strict=True):
+                    for a, b, *rest in blocks_of(symbols, length, k):
+                        for column, x in zip(found, (np.full(len(a), d), np.full(len(a), t), a.view(np.int64), b.view(np.int64), *rest), strict=True):
                             column.append(x)
                 if found[0]:
                     names = [x.split() for x in BLOCK.split(", ")]
@@ -147,12 +151,12 @@ def shared_blocks(rows: DataFrame, earlier: bool, written) -> DataFrame:
     place = F.struct("d", "t", "s0")
     cold = cold.repartition("a").select(
         "*",
-        F.count(F.lit(1)).over(anchor).alias("n_a"),
+        F.sum("rep").over(anchor).alias("n_a"),
         (F.min("d").over(anchor) < F.max("d").over(anchor)).alias("apart"),
-        F.count(F.lit(1)).over(block).alias("n_ab"),
+        F.sum("rep").over(block).alias("n_ab"),
         F.min(place).over(block).alias("first"),
     ).where("n_a > 1").withColumn("hot", F.lit(False))
-    by_block = written(hot.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_ab"), F.min(place).alias("first"), F.max("d").alias("last_d")))
+    by_block = written(hot.groupBy("a", "b").agg(F.sum("rep").alias("n_ab"), F.min(place).alias("first"), F.max("d").alias("last_d")))
     by_anchor = by_block.groupBy("a").agg(F.sum("n_ab").alias("n_a"), (F.min("first.d") < F.max("last_d")).alias("apart"))
     hot = hot.join(by_block.drop("last_d"), ["a", "b"]).join(F.broadcast(by_anchor), "a").where("n_a > 1").withColumn("hot", F.lit(True))
     both = cold.unionByName(hot)
@@ -162,7 +166,7 @@ def shared_blocks(rows: DataFrame, earlier: bool, written) -> DataFrame:
         both = both.where("apart")
     else:
         covered, expand = F.col("n_ab") > 1, (place == F.col("first")) & others
-    return both.select("d", "t", "a", "s0", "nw", "off", covered.alias("covered"), expand.alias("expand"), "hot").where("covered or expand")
+    return both.select("d", "t", "a", "s0", "nw", "off", "rep", covered.alias("covered"), expand.alias("expand"), "hot").where("covered or expand")
 
 
 def by_document(marks: DataFrame, *columns: str) -> DataFrame:

@@ -27,7 +27,7 @@ LAST = (1 << 63) - 1
 
 
 class FingerprintIndex:
-    """Runs of (a, b, d, t, s0, nw, off), sorted by a and b."""
+    """Runs of BLOCK rows, sorted by a and b."""
 
     def __init__(self, spark: SparkSession, folder: str | None = None, runs: list[str] | None = None, length: int = LENGTH, gram: int = GRAM, most_runs: int = MOST_RUNS):
         self.spark, self.length, self.gram, self.most_runs = spark, length, gram, most_runs
@@ -36,7 +36,7 @@ class FingerprintIndex:
 
     def _write_run(self, rows: DataFrame) -> str:
         path = f"{self.folder}/run-{uuid.uuid4().hex}"
-        rows.select("d", "t", "a", "b", "s0", "nw", "off").repartitionByRange("a", "b").sortWithinPartitions("a", "b", "d").write.parquet(path)
+        rows.select("d", "t", "a", "b", "s0", "nw", "off", "rep").repartitionByRange("a", "b").sortWithinPartitions("a", "b", "d").write.parquet(path)
         return path
 
     def history(self) -> DataFrame | None:
@@ -58,7 +58,7 @@ class FingerprintIndex:
 
     def compact(self) -> None:
         """Merge all runs into one, with each fingerprint's first document."""
-        first = self.history().groupBy("a", "b").agg(F.min(F.struct("d", "t", "s0", "nw", "off")).alias("x"))
+        first = self.history().groupBy("a", "b").agg(F.min(F.struct("d", "t", "s0", "nw", "off", "rep")).alias("x"))
         self.runs = [self._write_run(first.select("a", "b", "x.*"))]
 
 
@@ -79,7 +79,7 @@ def window_hashes(docs: DataFrame, marks: DataFrame, length: int) -> DataFrame:
                 h = sums.spans(s, np.full(len(s), length)).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(h), pa.array(np.full(len(s), d)), pa.array(np.full(len(s), t), pa.int32()), pa.array(s, pa.int32())], names=["a", "h", "d", "t", "s"])
 
-    lists = by_document(marks.where("expand").select("d", "t", "a", "s0", "nw").distinct(), "a", "s0", "nw")
+    lists = by_document(marks.where("expand").select("d", "t", "a", "s0", (F.col("nw") * F.col("rep")).alias("nw")).distinct(), "a", "s0", "nw")
     return packed_texts(docs).join(lists, ["d", "t"]).select("d", "t", "z", "marks").mapInArrow(tidy(find), "a long, h long, d long, t int, s int")
 
 
@@ -119,7 +119,7 @@ def remove_words(docs: DataFrame, spans: DataFrame) -> DataFrame:
 
 def resolve(docs: DataFrame, marks: DataFrame, length: int = LENGTH) -> DataFrame:
     """remove_words() of what the marks of all batches of docs say, the ambiguous blocks verified window by window."""
-    whole = marks.where("covered").select("d", "t", F.col("s0").alias("from"), (F.col("s0") + F.col("nw") + (length - 1)).alias("to"))
+    whole = marks.where("covered").select("d", "t", F.col("s0").alias("from"), (F.col("s0") + F.col("nw") * F.col("rep") + (length - 1)).alias("to"))
     late = later_windows(materialize(window_hashes(docs, marks, length), "windows"))
     return remove_words(docs, whole.unionByName(late.select("d", "t", F.col("s").alias("from"), (F.col("s") + length).alias("to"))))
 

@@ -161,7 +161,7 @@ def drop_repeated_substrings(docs: DataFrame, length: int = LENGTH, gram: int =
     blocks = materialize(block_rows(rows, length, gram, words=False), "blocks")
     marks = materialize(shared_blocks(blocks, False, lambda df: materialize(df, "hot-blocks")), "marks")
     repeated = sorted_buckets(fragments(rows, marks, length), length)
-    whole = marks.where("covered").select("d", "t", F.col("s0").alias("from"), (F.col("s0") + F.col("nw") + (length - 1)).alias("to"))
+    whole = marks.where("covered").select("d", "t", F.col("s0").alias("from"), (F.col("s0") + F.col("nw") * F.col("rep") + (length - 1)).alias("to"))
     return remove_spans(rows, whole.unionByName(repeated))
 
 
