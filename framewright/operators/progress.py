@@ -165,6 +165,24 @@ def knots(curve: DataFrame) -> DataFrame:
     return x.select("episode", "frame", "x", "q", "m", "commands", "event", "last", "total", "step", "s", before, *nexts)
 
 
+def on_grid(knot_table: DataFrame, n: Column) -> DataFrame:
+    """The multiples sample * step, sample = 0 .. n, up to total, each with its knot, u and t as located() has them.
+
+    An interval makes the multiples that lie in it, so there is no join and no further sort.
+    """
+    low = F.greatest(F.floor(F.col("x") / F.col("step")) - 1, F.lit(0))
+    high = F.when(F.coalesce(F.col("next_x") > F.col("total"), F.lit(True)), n).otherwise(F.least(n, F.ceil(F.col("next_x") / F.col("step")) + 1))
+    made = knot_table.select("episode", F.struct(*knot_table.columns).alias("knot"), F.explode(F.when(high >= low, F.sequence(low, high))).alias("sample"))
+    made = made.withColumn("at", F.least(F.col("sample") * F.col("knot.step"), F.col("knot.total")))
+    inside = (F.col("at") >= F.col("knot.x")) & F.coalesce(F.col("at") < F.col("knot.next_x"), F.lit(True))
+    return _between(made.where(inside), ["sample"])
+
+
+def _between(found: DataFrame, names: list[str]) -> DataFrame:
+    u = F.when(F.col("knot.next_x").isNull(), 0.0).otherwise((F.col("at") - F.col("knot.x")) / (F.col("knot.next_x") - F.col("knot.x")))
+    return found.select("episode", F.col("at").alias("target"), "knot", u.alias("u"), (F.col("knot.frame") + u).alias("t"), *names)
+
+
 def located(knot_table: DataFrame, targets: DataFrame) -> DataFrame:
     """targets (episode, target, ...) with the knot at or before each, as `knot`, and the fractional frame `t`.
 
@@ -175,8 +193,7 @@ def located(knot_table: DataFrame, targets: DataFrame) -> DataFrame:
     right = targets.select("episode", F.col("target").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(left.schema["knot"].dataType).alias("knot"), *names)
     order = Window.partitionBy("episode").orderBy("at", "kind", F.col("knot.frame"))
     both = left.unionByName(right).withColumn("knot", F.last("knot", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).where("kind = 1")
-    u = F.when(F.col("knot.next_x").isNull(), 0.0).otherwise((F.col("at") - F.col("knot.x")) / (F.col("knot.next_x") - F.col("knot.x")))
-    return both.select("episode", F.col("at").alias("target"), "knot", u.alias("u"), (F.col("knot.frame") + u).alias("t"), *names)
+    return _between(both, names)
 
 
 def sampled(found: DataFrame) -> DataFrame:
@@ -193,10 +210,8 @@ def sampled(found: DataFrame) -> DataFrame:
 
 def resample(curve: DataFrame) -> DataFrame:
     """(episode, sample, target, t, q, commands, event): each episode at equal steps of progress."""
-    ends = curve.where("frame = 0").select("episode", "total", "step", F.rint(F.round(F.col("total") / F.col("step"), 9)).cast("long").alias("n"))
-    grid = ends.select("episode", "total", "step", F.explode(F.sequence(F.lit(0).cast("long"), "n")).alias("sample"))
-    targets = grid.select("episode", "sample", (F.col("sample") * F.col("step")).alias("s"), F.least(F.col("sample") * F.col("step"), F.col("total")).alias("target"))
-    return sampled(located(knots(curve), targets)).select("episode", "sample", "s", "t", "q", "commands", "event")
+    n = F.rint(F.round(F.col("total") / F.col("step"), 9)).cast("long")
+    return sampled(on_grid(knots(curve), n)).select("episode", "sample", (F.col("sample") * F.col("knot.step")).alias("s"), "t", "q", "commands", "event")
 
 
 def look_ahead(curve: DataFrame, cfg: ProgressConfig = ProgressConfig(), key_weight: float = 2.0) -> DataFrame:

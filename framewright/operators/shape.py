@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from .progress import up_to_here, by_episode, in_order, knots, located
+from .progress import by_episode, in_order, knots, located, on_grid, up_to_here
 
 
 def local_shape(frames: DataFrame, w: int = 15, fps: float = 30.0) -> DataFrame:
@@ -27,11 +27,9 @@ def phase(path: Column, tau: Column, floor: float, hunting: float) -> Column:
 
 def resample_density(curve: DataFrame) -> DataFrame:
     """(episode, frame, points): resampled points that land in each interval, the last one closed."""
-    ends = curve.where("frame = 0").select("episode", "total", "step", "last", F.ceil(F.round(F.col("total") / F.col("step"), 9)).alias("n"))
-    grid = ends.where("n > 0").select("episode", "last", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda i: i * F.col("step"))).alias("target"))
-    t = located(knots(curve), grid.select("episode", "target"))
-    bin_ = F.least(F.floor("t"), F.col("knot.last"))
-    return t.groupBy("episode", bin_.alias("frame")).agg(F.count(F.lit(1)).alias("points"))
+    n = F.ceil(F.round(F.col("total") / F.col("step"), 9)) - 1
+    t = on_grid(knots(curve), n)
+    return t.groupBy("episode", F.least(F.floor("t"), F.col("knot.last")).alias("frame")).agg(F.count(F.lit(1)).alias("points"))
 
 
 def path_tortuosity_table(shape: DataFrame, path_edges: list[float], tau_edges: list[float]) -> DataFrame:

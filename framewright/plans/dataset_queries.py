@@ -9,6 +9,7 @@ from ..functions.vectors import rounded
 from ..operators import dataset as D
 from ..operators import progress as P
 from ..sources import recordings as R
+from ..sources.files import scratch
 from . import progress_sql as S
 from .progress_queries import _GRID, _STEP, _STILL, curve
 
@@ -173,7 +174,7 @@ a3 AS (SELECT count(*) AS episodes, min(r) AS r0, median(r) AS r5, max(r) AS r1
 
 
 def _tally(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    c = curve(spark, sf_dir)
+    c = scratch(curve(spark, sf_dir), "curve")  # read three times below
     return c, D.supervision_tally(c, P.resample(c), 20.0)
 
 
@@ -205,8 +206,6 @@ def acceptance_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT 0::BIGINT AS only_stored, 0::BIGINT AS only_computed, 0.0::DOUBLE AS largest")
 def stored_against_computed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks that went through Parquet against chunks computed anew."""
-    from ..sources.files import scratch
-
     c = P.progress_curve(R.user_recordings(spark, sf_dir), P.ProgressConfig(approach=2))
     made = P.chunks(P.look_ahead(c))
     return D.largest_difference(scratch(made, "chunks"), made, ["episode", "frame"], "action_chunk").select("only_stored", "only_computed", F.round("largest", 5).alias("largest"))
