@@ -64,9 +64,10 @@ vl AS (SELECT episode, tau, (frame IS NULL OR nt IS NULL OR (frame = 0 AND tau <
 pv AS (SELECT episode, tau, CASE WHEN held THEN hq ELSE q END AS q, CASE WHEN held THEN 0.0 ELSE v END AS v FROM vl)"""
 
 
-@query(f"WITH {S.USERS}, {_TICKS} SELECT episode AS chunk, round(tau, 3)::DOUBLE AS tau, round(q, 7) + 0.0 AS q, round(v, 6) + 0.0 AS v FROM pv")
+@query(f"WITH {S.USERS}, {_TICKS} SELECT episode AS chunk, round(tau, 3)::DOUBLE AS tau, round(q, 7) + 0.0 AS q, round(degrees(v), 4) + 0.0 AS v FROM pv")
 def playback_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ticks(spark, sf_dir).select("chunk", F.round("tau", 3).alias("tau"), rounded(F.col("q")[0], 7).alias("q"), rounded(F.col("v")[0], 6).alias("v"))
+    """Position and velocity at every half second; velocities in degrees, as in halves and quarters they fall on ties."""
+    return _ticks(spark, sf_dir).select("chunk", F.round("tau", 3).alias("tau"), rounded(F.col("q")[0], 7).alias("q"), rounded(F.degrees(F.col("v")[0]), 4).alias("v"))
 
 
 @query(f"""WITH {S.USERS}, {_TICKS}, j AS (SELECT *, abs(v - lag(v) OVER (PARTITION BY episode ORDER BY tau)) AS jump FROM pv)
