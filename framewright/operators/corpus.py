@@ -7,6 +7,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# The forms of a citation and what each becomes; @ stands for the address.
+CITATIONS = [
+    (r"(?<![\[\w])paper_(\d{3})/(\d{3})(?!/?\d)", "paper_$1, paper_$2"),
+    (r"\[(paper_\d{3}(?:, paper_\d{3})+)\](?!\()", "$1"),
+    (r"\[(paper_\d{3})\](?!\()", "$1"),
+    (r"(?<![\[\w/])(paper_\d{3})(?![\d/]|\]\()", "[$1](@$1)"),
+    (r"(?<![\w./\[])((?:1[5-9]|2\d)\d{2}\.\d{5})(?!\d|\.\w|\]\()", "[$1](@$1)"),
+]
+
 
 def missing_fields(rows: DataFrame, fields: list[str]) -> DataFrame:
     """(field, missing): rows in which a field is null or empty."""
@@ -83,14 +92,7 @@ def same_path(path: Column) -> Column:
 def linked(text: Column, address: str = "https://example.org/") -> Column:
     """Bare paper_000 citations, lists of them in brackets or with slashes, and bare numbers like 2401.01234 as links;
     what is a link already stays, so doing it twice changes nothing."""
-    steps = [
-        (r"(?<![\[\w])paper_(\d{3})/(\d{3})(?!/?\d)", "paper_$1, paper_$2"),
-        (r"\[(paper_\d{3}(?:, paper_\d{3})+)\](?!\()", "$1"),
-        (r"\[(paper_\d{3})\](?!\()", "$1"),
-        (r"(?<![\[\w/])(paper_\d{3})(?![\d/]|\]\()", f"[$1]({address}$1)"),
-        (r"(?<![\w./\[])((?:1[5-9]|2\d)\d{2}\.\d{5})(?!\d|\.\w|\]\()", f"[$1]({address}$1)"),
-    ]
-    return reduce(lambda c, s: F.regexp_replace(c, *s), steps, text)
+    return reduce(lambda c, s: F.regexp_replace(c, s[0], s[1].replace("@", address)), CITATIONS, text)
 
 
 def entries_of_feed(xml: Column) -> Column:
