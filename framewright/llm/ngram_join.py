@@ -242,7 +242,7 @@ def verified(groups: DataFrame, n: int, similarity: float) -> DataFrame:
             linked = np.zeros((len(rows), len(rows)), bool)
             both = intersections(sets)
             for i in range(len(rows)):  # row by row, so no second matrix of numbers is needed
-                linked[i] = both[i] * (1 + similarity) >= similarity * (size[i] + size) - 1e-6
+                linked[i] = both[i].astype(np.float64) * (1 + similarity) >= similarity * (size[i] + size) - 1e-6
             np.fill_diagonal(linked, False)
             if x != y:
                 linked &= block[:, None] != block[None, :]

@@ -174,6 +174,17 @@ def test_similar_groups_beyond_a_block(spark, monkeypatch):
     same(out.select("doc_id", "class_id", "n_links").collect(), links_by_force(rows))
 
 
+def test_similar_at_the_threshold(spark):
+    """Pairs at exactly 0.8 are linked, those of one shingle less are not."""
+    rows = []
+    for i, (least, most) in enumerate([(12, 15), (24, 30), (28, 35), (44, 55), (1600, 2000), (11, 14), (43, 54), (1599, 2000)]):
+        words = [f"p{i}w{j}" for j in range(most + 4)]
+        rows += [(10 * i, " ".join(words), None, None, 1), (10 * i + 1, " ".join(words[: least + 4]), None, None, 1)]
+    out = ngram_join.similar_documents(documents(spark, rows, extra=False)).collect()
+    assert {r.doc_id: r.n_links for r in out} == {d: int(d < 50) for d, *_ in rows}
+    same([(r.doc_id, r.class_id, r.n_links) for r in out], links_by_force(rows))
+
+
 def test_one_of_each(spark):
     docs = documents(spark)
     out = ngram_join.one_of_each(docs)
