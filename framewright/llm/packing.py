@@ -1,7 +1,8 @@
 """Packing by lexical retrieval: a sharded BM25 index fills each document's last window with unused neighbours.
 
-A shard is a run of rows of one input partition, of a bounded number of documents and tokens, so nothing is shuffled.
-Within a shard an inverted index over token ids is built; each seed document fills windows of its own, and its last
+Texts are encoded once into a table of ids; document frequencies and the mean length are counted over all of it.
+A shard is a run of rows of one partition, of a bounded number of documents and tokens, so nothing is shuffled, and
+retrieval doesn't reach beyond it. Within a shard an inverted index over token ids is built; each seed document fills windows of its own, and its last
 window takes unused neighbours in order of BM25 score. The neighbour that doesn't fit is cut, and its rest seeds the
 next window. What remains at the end of a shard is cut into powers of two, which need no padding.
 """
@@ -11,13 +12,15 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import tidy
+from .common import materialize, tidy
 
 WINDOW = 1024
 SHARD_DOCS, SHARD_TOKENS = 2048, 2_000_000
@@ -58,10 +61,20 @@ class Encoder:
         return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4")
 
 
+@dataclass
+class Statistics:
+    """Documents, their mean length, and in how many of them each id is (terms ascending)."""
+
+    n: int
+    mean: float
+    terms: np.ndarray
+    df: np.ndarray
+
+
 class Shard:
-    """BM25 over the documents of one shard."""
+    """BM25 over the documents of one shard, by the statistics of all documents; without any, by its own."""
 
-    def __init__(self, docs: list[np.ndarray]):
+    def __init__(self, docs: list[np.ndarray], known: Statistics | None = None):
         n = len(docs)
         found = [np.unique(d, return_counts=True) for d in docs]
         sizes = np.array([len(t) for t, _ in found])
@@ -71,10 +84,12 @@ class Shard:
         order = np.argsort(terms, kind="stable")
         self.vocabulary, self.first = np.unique(terms[order], return_index=True)
         self.first = np.append(self.first, len(terms))
-        df = np.diff(self.first)
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5)).astype(np.float32)
+        if known is None:
+            known = Statistics(n, float(length.mean()), self.vocabulary, np.diff(self.first))
+        df = known.df[np.searchsorted(known.terms, self.vocabulary)]
+        idf = np.log(1 + (known.n - df + 0.5) / (df + 0.5)).astype(np.float32)
         slot = np.searchsorted(self.vocabulary, terms)
-        weight = idf[slot] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[owner] / length.mean()))
+        weight = idf[slot] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[owner] / np.float32(known.mean)))
         self.owner, self.weight = owner[order], weight[order]
         ends = np.cumsum(sizes)
         self.queries = []
@@ -97,9 +112,9 @@ class Shard:
         return found[np.lexsort((found, -score[found]))]
 
 
-def pack_shard(docs: list[np.ndarray]) -> list[list[tuple[int, int, int]]]:
+def pack_shard(docs: list[np.ndarray], known: Statistics | None = None) -> list[list[tuple[int, int, int]]]:
     """Sequences of (document, start, length); all but the last few hold WINDOW ids."""
-    shard, lengths = Shard(docs), [len(d) for d in docs]
+    shard, lengths = Shard(docs, known), [len(d) for d in docs]
     sequences: list[list[tuple[int, int, int]]] = []
     window: list[tuple[int, int, int]] = []
     room, fresh, upcoming = WINDOW, 0, iter(())
@@ -138,6 +153,52 @@ def pack_shard(docs: list[np.ndarray]) -> list[list[tuple[int, int, int]]]:
     return sequences
 
 
+ENCODED = "doc_id long, wide boolean, ids binary"
+
+
+def encoded(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
+    """ENCODED of each row of docs: the ids of its text and then end_id, in four bytes each if wide, or else in two."""
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(tokenizer)
+        for batch in batches:
+            for at in range(0, len(batch), 1000):
+                part = batch.slice(at, 1000)
+                tokens = [np.append(encoder.ids(text.as_py() or ""), np.uint32(end_id)) for text in part.column("text")]
+                wide = [bool(own.max() >= 1 << 16) for own in tokens]
+                ids = [own.astype("<u4" if w else "<u2").tobytes() for own, w in zip(tokens, wide, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(wide, pa.bool_()), pa.array(ids, pa.binary())], names=["doc_id", "wide", "ids"])
+
+    return docs.select("doc_id", "text").mapInArrow(tidy(encode), ENCODED)
+
+
+def decoded(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    for wide, ids in zip(batch.column("wide").to_pylist(), batch.column("ids"), strict=True):
+        yield np.frombuffer(ids.as_buffer(), "<u4" if wide else "<u2").astype("<u4")
+
+
+def statistics(rows: DataFrame) -> Statistics:
+    """Those of all ENCODED rows; what comes to the driver is a row for each id of the vocabulary."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, n, total = np.zeros(0, np.int64), 0, 0
+        for batch in batches:
+            docs = list(decoded(batch))
+            n, total = n + len(docs), total + sum(map(len, docs))
+            own = [np.unique(d) for d in docs]
+            if own:
+                new = np.bincount(np.concatenate(own), minlength=len(df))
+                new[: len(df)] += df
+                df = new
+        terms = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append([-2, -1], terms), pa.int64()), pa.array(np.append([n, total], df[terms]), pa.int64())], names=["term", "n"])
+
+    found = rows.mapInArrow(tidy(count), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).orderBy("term").collect()
+    n, total = (next((r["n"] for r in found if r["term"] == x), 0) for x in (-2, -1))
+    terms = [r for r in found if r["term"] >= 0]
+    return Statistics(n, total / max(1, n), np.array([r["term"] for r in terms], np.int64), np.array([r["n"] for r in terms], np.int64))
+
+
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -147,11 +208,13 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFram
     A document's ids are those of its text and then end_id; null text is empty, so it has one id. Each id is in one
     piece, and a sequence's pieces follow without gaps. Sequences hold 1024 ids or a power of two. Rows with a null or
     repeated doc_id are packed like any other, each row by itself. An empty table gives no rows. Other columns are not
-    read. sequence_id holds the partition's number in its upper bits.
+    read. sequence_id holds the number of the partition of the table of ids in its upper bits.
     """
+    rows = materialize(encoded(docs, tokenizer, end_id), "ids")
+    known = statistics(rows)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, number = Encoder(tokenizer), TaskContext.get().partitionId() << 33
+        number = TaskContext.get().partitionId() << 33
         ids: list[int | None] = []
         tokens: list[np.ndarray] = []
         total = 0
@@ -159,7 +222,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFram
         def flush() -> pa.RecordBatch:
             nonlocal number
             out: list[tuple] = []
-            for sequence in pack_shard(tokens):
+            for sequence in pack_shard(tokens, known):
                 offset = 0
                 for doc, start, length in sequence:
                     own = tokens[doc]
@@ -170,8 +233,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFram
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=names)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
-                tokens.append(np.append(encoder.ids(text.as_py() or ""), np.uint32(end_id)).astype("<u4"))
+            for doc_id, own in zip(batch.column("doc_id"), decoded(batch), strict=True):
+                tokens.append(own)
                 ids.append(doc_id.as_py())
                 total += len(tokens[-1])
                 if len(tokens) >= SHARD_DOCS or total >= SHARD_TOKENS:
@@ -180,4 +243,4 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFram
         if tokens:
             yield flush()
 
-    return docs.select("doc_id", "text").mapInArrow(tidy(pack), SCHEMA)
+    return rows.mapInArrow(tidy(pack), SCHEMA)

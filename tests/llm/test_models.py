@@ -108,6 +108,22 @@ def test_bm25_scores():
     assert shard.neighbours(0).tolist() == sorted([1, 2, 3], key=lambda d: -score(0, d))
 
 
+def test_bm25_statistics_are_those_of_all_documents(spark):
+    """Over partitions and shards; a term rare in a shard but common in the table counts as common."""
+    rows = [(i, f"common word{i % 9} text {'x ' * (i % 40)}", None, None, 1) for i in range(90)] + [(500, "\U0001f44d é", None, None, 1), (501, None, None, None, 1)]
+    encoder = PK.Encoder(tokens.path("byte_bpe_50k.json"))
+    ids = [np.append(encoder.ids(t or ""), 0) for _, t, *_ in rows]
+    df = Counter(int(x) for d in ids for x in np.unique(d))
+    known = PK.statistics(PK.encoded(documents(spark, rows).repartition(5), tokens.path("byte_bpe_50k.json")))
+    assert known.n == len(rows) and abs(known.mean - np.mean([len(d) for d in ids])) < 1e-9
+    assert dict(zip(known.terms.tolist(), known.df.tolist())) == df
+    docs = [np.array(x, "<u4") for x in ([5, 6, 0], [5, 7, 0], [6, 8, 0], [6, 9, 0])]
+    few = PK.Statistics(1000, 3.0, np.array([0, 5, 6, 7, 8, 9]), np.array([1000, 900, 3, 5, 5, 5]))
+    for shard, first in ((PK.Shard(docs), 1), (PK.Shard(docs, few), 2)):
+        shard.unused[0] = False
+        assert shard.neighbours(0)[0] == first
+
+
 def test_gradients():
     """Backpropagation through time against finite differences."""
     LIN = LI.train({"a": ["xa ya za " * 20], "b": ["ub vb wb " * 20]}, steps=2)
