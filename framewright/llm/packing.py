@@ -3,7 +3,8 @@
 Texts are encoded once into a table of ids; document frequencies and the mean length are counted over all of it.
 A shard is a run of rows of one partition, of a bounded number of documents and tokens, so nothing is shuffled, and
 retrieval doesn't reach beyond it. Within a shard an inverted index over token ids is built; each seed document fills windows of its own, and its last
-window takes unused neighbours in order of BM25 score. The neighbour that doesn't fit is cut, and its rest seeds the
+window takes unused neighbours in order of BM25 score over all terms of the seed, and rows in file order only when no
+unused document of the shard scores above zero. The neighbour that doesn't fit is cut, and its rest seeds the
 next window. What remains at the end of a shard is cut into powers of two, which need no padding.
 """
 
@@ -24,8 +25,8 @@ from .common import materialize, tidy
 
 WINDOW = 1024
 SHARD_DOCS, SHARD_TOKENS = 2048, 2_000_000
-#: Terms asked for each seed, neighbours taken from the index at once, and BM25's constants.
-QUERY_TERMS, NEIGHBOURS, K1, B = 12, 24, 1.2, 0.75
+#: BM25's constants, and the share of a shard's documents from which on a term's weights are held as a dense row.
+K1, B, COMMON = 1.2, 0.75, 0.05
 
 # The byte-to-character table and the word pattern of byte-level BPE.
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -91,25 +92,29 @@ class Shard:
         slot = np.searchsorted(self.vocabulary, terms)
         weight = idf[slot] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[owner] / np.float32(known.mean)))
         self.owner, self.weight = owner[order], weight[order]
+        # terms of many documents as dense rows, as adding rows is much faster than counting up their postings
+        many = np.flatnonzero(np.diff(self.first) > COMMON * n)
+        self.row = np.full(len(self.vocabulary), -1)
+        self.row[many] = np.arange(len(many))
+        self.dense, self.columns = np.zeros((len(many), n), np.float32), np.arange(n)
+        at = self.row[slot[order]]
+        self.dense[at[at >= 0], self.owner[at >= 0]] = self.weight[at >= 0]
         ends = np.cumsum(sizes)
-        self.queries = []
-        for a, b in zip(ends - sizes, ends, strict=True):
-            w = weight[a:b]
-            top = np.argpartition(-w, QUERY_TERMS)[:QUERY_TERMS] if b - a > QUERY_TERMS else np.arange(b - a)
-            self.queries.append(slot[a + top])
+        self.queries = [slot[a:b] for a, b in zip(ends - sizes, ends, strict=True)]
         self.unused = np.ones(n, bool)
 
     def neighbours(self, seed: int) -> np.ndarray:
-        """Unused documents that share a query term with the seed, best first, ties by position."""
-        spans = [slice(self.first[t], self.first[t + 1]) for t in self.queries[seed]]
-        if not spans:
-            return np.empty(0, int)
-        score = np.bincount(np.concatenate([self.owner[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), len(self.unused))
-        score[~self.unused] = 0
-        found = np.flatnonzero(score > 0)
-        if len(found) > NEIGHBOURS:
-            found = found[np.argpartition(-score[found], NEIGHBOURS)[:NEIGHBOURS]]
-        return found[np.lexsort((found, -score[found]))]
+        """Unused documents that share any term with the seed, best first, ties by position."""
+        left = self.unused[self.columns]
+        if 4 * left.sum() < 3 * len(left):  # columns of used documents go
+            self.dense, self.columns = np.compress(left, self.dense, 1), self.columns[left]
+        row = self.row[self.queries[seed]]
+        score = np.zeros(len(self.unused))
+        score[self.columns] = np.add.reduce(self.dense[row[row >= 0]], 0)
+        if spans := [slice(self.first[t], self.first[t + 1]) for t in self.queries[seed][row < 0]]:
+            score += np.bincount(np.concatenate([self.owner[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), len(score))
+        found = np.flatnonzero((score > 0) & self.unused)
+        return found[np.argsort(-score[found], kind="stable")]
 
 
 def pack_shard(docs: list[np.ndarray], known: Statistics | None = None) -> list[list[tuple[int, int, int]]]:

@@ -124,6 +124,23 @@ def test_bm25_statistics_are_those_of_all_documents(spark):
         assert shard.neighbours(0)[0] == first
 
 
+def test_packing_asks_every_term_and_all_neighbours():
+    """Windows of tiny documents take their own kind to the end, by terms beyond the seed's heaviest too."""
+    docs = [np.array([1 + i % 2, 10 + i, 0], "<u4") for i in range(1400)]
+    first = PK.pack_shard(docs)[0]
+    assert {d % 2 for d, _, _ in first} == {0}
+    docs = [np.arange(1, 60), np.arange(100, 150), np.append(np.arange(30, 60), 500)]
+    rare = np.append(np.arange(1, 13), 600)
+    shard = PK.Shard([np.append(d, 0).astype("<u4") for d in [*docs, rare]])
+    shard.unused[0] = False
+    assert set(shard.neighbours(0).tolist()) == {1, 2, 3} and shard.neighbours(0)[0] == 2
+    ids = [np.append(np.full(9, 1 + t), 0).astype("<u4") for t in range(40)]
+    seed = np.append(np.arange(1, 41), 0).astype("<u4")
+    shard = PK.Shard([seed, *ids])
+    shard.unused[0] = False
+    assert len(shard.neighbours(0)) == 40
+
+
 def test_gradients():
     """Backpropagation through time against finite differences."""
     LIN = LI.train({"a": ["xa ya za " * 20], "b": ["ub vb wb " * 20]}, steps=2)
