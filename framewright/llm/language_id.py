@@ -20,8 +20,9 @@ from .common import tidy
 #: Bytes of a segment, hidden units of each direction.
 SEGMENT, HIDDEN = 32, 16
 #: The bounded sample that is learned from: documents of each language, and segments of each language drawn from them.
-SAMPLE_DOCS, SAMPLE_SEGMENTS, MOST_LANGUAGES = 250, 12_000, 64
-STEPS, BATCH, RATE = 240, 384, 0.02
+SAMPLE_DOCS, SAMPLE_SEGMENTS = 250, 12_000
+#: Steps for up to STEP_LANGUAGES languages; with more, in proportion, so that a language is met as often.
+STEPS, BATCH, RATE, STEP_LANGUAGES = 240, 384, 0.02, 64
 #: Share of the training segments that are put in capitals.
 CAPITALS = 0.1
 #: Segments a worker remembers before it starts anew.
@@ -140,6 +141,7 @@ def train(texts: dict[str, list[str]], seed: int = 7, steps: int = STEPS) -> Mod
         drawn = [own[i] for i in rng.choice(len(own), min(SAMPLE_SEGMENTS, len(own)), replace=False)]
         pools.append([s.decode("utf-8", "ignore").upper().encode()[:SEGMENT] if rng.random() < CAPITALS else s for s in drawn])
     n, k = HIDDEN, len(languages)
+    steps = -(-steps * max(k, STEP_LANGUAGES) // STEP_LANGUAGES)
     normal = lambda *shape, scale: (rng.standard_normal(shape) * scale).astype(np.float32)
     p = {"v": normal(2 * n, k, scale=0.2), "c": np.zeros(k, np.float32)}
     for d in "fr":
@@ -167,8 +169,6 @@ def sample_texts(docs: DataFrame, per_language: int = SAMPLE_DOCS) -> dict[str,
     may = docs.where(F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     rank = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = may.select("doc_id", "lang").withColumn("r", F.row_number().over(rank)).where(f"r <= {per_language}")
-    if (kinds := chosen.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()) and len(kinds) == MOST_LANGUAGES:
-        chosen = chosen.where(F.col("lang").isin([r["lang"] for r in kinds]))
     out: dict[str, list[str]] = {}
     for lang, text in sorted(may.select("doc_id", "lang", "text").join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi").select("lang", "text").toLocalIterator()):
         out.setdefault(lang, []).append(text)
@@ -218,9 +218,9 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def identify_languages(docs: DataFrame) -> DataFrame:
-    """Train on a bounded sample of the labelled documents that aren't held out, and label every row of docs.
+    """Train on a sample of the labelled documents that aren't held out, and label every row of docs.
 
-    Returns SCHEMA. lang, source and doc_id are no inputs of a prediction. Rows with a null lang or doc_id teach nothing
+    Every language is learned, from at most SAMPLE_DOCS documents and SAMPLE_SEGMENTS segments of it. Returns SCHEMA. lang, source and doc_id are no inputs of a prediction. Rows with a null lang or doc_id teach nothing
     and are labelled all the same; a null doc_id is not held out. Without any labelled document all is und. Repeated
     rows are labelled one by one, an empty table gives an empty table, further columns are not read.
     """

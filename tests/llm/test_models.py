@@ -175,6 +175,16 @@ def test_language_edge_cases(spark):
     assert {r.lang_pred for r in nothing} == {"und"} and LI.identify_languages(documents(spark, [])).count() == 0
 
 
+def test_every_language_is_learned(spark):
+    """More than 64 languages, the last by name among them."""
+    word = lambda k: f"{chr(0x4E00 + 97 * k)}{chr(0x4E01 + 97 * k)}"
+    rows = [(100 * k + i, f"{word(k)} " * 12, f"l{k:02d}", None, 1) for k in range(70) for i in range(6)]
+    docs = documents(spark, rows, extra=False)
+    assert set(LI.sample_texts(docs)) == {r[2] for r in rows}
+    found = {(r.doc_id // 100, r.lang_pred) for r in LI.identify_languages(docs).collect()}
+    assert sum(p == f"l{k:02d}" for k, p in found) >= 0.9 * 70 and {p for k, p in found if k >= 64} & {f"l{k}" for k in range(64, 70)}
+
+
 def test_segments_hold_every_byte_but_spaces():
     for _, t, *_ in texts():
         assert b"".join(LI.segments_of(t or "")).replace(b" ", b"") == b"".join((t or "").encode().split())
