@@ -23,8 +23,8 @@ COMMON_WORDS = sorted(
 #: Distances beyond which a document is turned away, and what it must have for either to be asked.
 MOST_CLASS_DISTANCE, MOST_WORD_DISTANCE = 0.30, 0.50
 LEAST_CHARS, LEAST_WORDS = 200, 50
-#: References kept: those of the languages with the most words.
-MOST_LANGUAGES = 64
+#: References written into the expression; more of them become a broadcast row, so that the plan doesn't grow with them.
+LITERAL_LANGUAGES = 64
 
 FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -95,21 +95,21 @@ def features(docs: DataFrame, repeats: bool = True) -> DataFrame:
 
 
 def references(found: DataFrame) -> list[tuple[list[float], list[float]]]:
-    """Class and common-word shares of each language, summed over all documents; at most MOST_LANGUAGES rows."""
+    """Class and common-word shares of each language, summed over all documents."""
     n_classes, n_common = 6, len(COMMON_WORDS) + 1
     sums = [F.sum(F.col("classes")[i]).alias(f"c{i}") for i in range(n_classes)] + [F.sum(F.col("common")[i]).alias(f"w{i}") for i in range(n_common)]
-    rows = found.where(F.col("doc.lang").isNotNull()).groupBy(F.col("doc.lang").alias("lang")).agg(F.sum("n_words").alias("n"), *sums).where("n > 0").orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
+    rows = found.where(F.col("doc.lang").isNotNull()).groupBy(F.col("doc.lang").alias("lang")).agg(F.sum("n_words").alias("n"), *sums).where("n > 0").orderBy(F.desc("n"), "lang").collect()
     share = lambda v: [x / (sum(v) or 1.0) for x in v]
     return [(share([r[f"c{i}"] for i in range(n_classes)]), share([r[f"w{i}"] for i in range(n_common)])) for r in rows]
 
 
-def _distance(counts: Column, total: Column, shares: list[float]) -> Column:
+def _distance(counts: Column, total: Column, shares: list[float] | Column) -> Column:
     def term(c: Column, q: Column) -> Column:
         p = c / total
         m = (p + q) / 2
         return F.when(p > 0, p * F.log2(p / m)).otherwise(0.0) + F.when(q > 0, q * F.log2(q / m)).otherwise(0.0)
 
-    both = F.aggregate(F.zip_with(counts, F.array(*map(F.lit, shares)), term), F.lit(0.0), lambda a, x: a + x)
+    both = F.aggregate(F.zip_with(counts, shares if isinstance(shares, Column) else F.array(*map(F.lit, shares)), term), F.lit(0.0), lambda a, x: a + x)
     return F.sqrt(F.greatest(F.lit(0.0), both / 2))
 
 
@@ -117,12 +117,16 @@ def judge(found: DataFrame, known: list[tuple[list[float], list[float]]]) -> Dat
     """found with class_distance, word_distance (null where the length guards hold or nothing is known), base_failed and kept."""
     chars = F.aggregate("classes", F.lit(0.0), lambda a, x: a + x)
     nearest = lambda column, total, which: F.least(*[_distance(F.col(column), total, k[which]) for k in known]) if len(known) > 1 else (_distance(F.col(column), total, known[0][which]) if known else F.lit(None).cast("double"))
+    if len(known) > LITERAL_LANGUAGES:
+        row = found.sparkSession.createDataFrame([tuple([k[which] for k in known] for which in (0, 1))], "known0 array<array<double>>, known1 array<array<double>>")
+        found = found.crossJoin(F.broadcast(row))
+        nearest = lambda column, total, which: F.array_min(F.transform(f"known{which}", lambda q: _distance(F.col(column), total, q)))
     out = found.withColumn("chars", chars).withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     asked = F.col("n_words") >= LEAST_WORDS
     out = out.withColumn("class_distance", F.when((F.col("chars") >= LEAST_CHARS) & asked, nearest("classes", F.col("chars"), 0)))
     out = out.withColumn("word_distance", F.when(asked, nearest("common", F.col("n_words").cast("double"), 1)))
     near = F.coalesce(F.col("class_distance") <= MOST_CLASS_DISTANCE, F.lit(True)) & F.coalesce(F.col("word_distance") <= MOST_WORD_DISTANCE, F.lit(True))
-    return out.withColumn("kept", ~F.col("base_failed") & near).drop("chars")
+    return out.withColumn("kept", ~F.col("base_failed") & near).drop("chars", "known0", "known1")
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:

@@ -65,6 +65,19 @@ def distance(p, q):
     return np.sqrt(max(0.0, (part(p) + part(q)) / 2))
 
 
+def test_quality_references_of_every_language(spark):
+    """More than 64 languages: the smallest one, of digits only, has a reference too."""
+    rows = [(i, f"the word{'abcdefgh'[i % 8]} of " * 40, f"l{i:02d}", None, 1) for i in range(70)] + [(99, " ".join(f"{i:06d}" for i in range(60)), "zz", None, 1)]
+    docs = documents(spark, rows, extra=False)
+    known = QR.references(QR.features(docs))
+    assert len(known) == 71
+    out = {r.doc.doc_id: r for r in QR.judge(QR.features(docs), known).collect()}
+    assert out[99].kept and out[99].class_distance < 1e-6 and len(out) == 71
+    for r in out.values():
+        p = np.array(r.common) / sum(r.common)
+        assert abs(r.word_distance - min(distance(p, np.array(k[1])) for k in known)) < 1e-6
+
+
 def test_quality_without_references(spark):
     rows = [(i, PASSAGE, None, None, 1) for i in range(3)]
     assert all(r.kept for r in QR.quality_rules(documents(spark, rows)).collect())
