@@ -26,6 +26,9 @@ LEAST_CHARS, LEAST_WORDS = 200, 50
 #: References written into the expression; more of them become a broadcast row, so that the plan doesn't grow with them.
 LITERAL_LANGUAGES = 64
 
+#: Bits of a packed window that its hash gives up besides those of the position; only tests give up any.
+SPARE_BITS = 0
+
 FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -43,6 +46,27 @@ def _windows(h: Column, bits: Column) -> Column:
     return F.when(n < 3, F.array().cast("array<long>")).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(n - 3, F.lit(0))), packed))
 
 
+def _neighbours(sorted_array: Column, pair) -> Column:
+    """pair(a, b) of each element and the next one, where that isn't null."""
+    most = F.greatest(F.size(sorted_array) - 1, F.lit(0))
+    return F.filter(F.zip_with(F.slice(sorted_array, 1, most), F.slice(sorted_array, 2, most), pair), lambda p: p.isNotNull())
+
+
+def _equal_windows(h: Column, windows: Column, bits: Column) -> tuple[Column, Column]:
+    """Places (a, b) of neighbours among the packed windows that have equal hashes, and whether all of them are equal."""
+    key = lambda x: F.call_function("shiftrightunsigned", x, bits)
+    place = lambda x: (x - F.call_function("shiftleft", key(x), bits)).cast("int")
+    pairs = _neighbours(windows, lambda a, b: F.when(key(a) == key(b), F.struct(place(a).alias("a"), place(b).alias("b"))))
+    same = lambda p: (h[p["a"]] == h[p["b"]]) & (h[p["a"] + 1] == h[p["b"] + 1]) & (h[p["a"] + 2] == h[p["b"] + 2])
+    return pairs, F.forall("pairs", same)
+
+
+def _equal_triples(h: Column) -> Column:
+    """The same places with nothing packed: windows sorted by the hashes of their three words."""
+    triple = F.sort_array(F.transform(F.sequence(F.lit(0), F.greatest(F.size(h) - 3, F.lit(0))), lambda i: F.struct(F.struct(h[i], h[i + 1], h[i + 2]).alias("w"), i.alias("at"))))
+    return _neighbours(triple, lambda a, b: F.when(a["w"] == b["w"], F.struct(a["at"].alias("a"), b["at"].alias("b"))))
+
+
 def features(docs: DataFrame, repeats: bool = True) -> DataFrame:
     """All columns of docs in the struct `doc`, with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, and
     the histograms `classes` (space, bytes beyond ASCII, symbols, digits, punctuation, the rest) and `common`
@@ -57,18 +81,16 @@ def features(docs: DataFrame, repeats: bool = True) -> DataFrame:
     rows = rows.select(
         "doc", "text", "h", "word_chars",
         F.size("h").cast("long").alias("n_words"),
-        F.length(F.bin(F.size("h"))).alias("bits"),
+        (F.length(F.bin(F.size("h"))) + SPARE_BITS).alias("bits"),
         _occurrences(text, r"[#*$%&|<>]").cast("long").alias("n_symbols"),
         lines.alias("lines"),
         F.sort_array(F.concat(F.filter("h", lambda x: x.isin(codes)), F.array(*map(F.lit, codes)).cast("array<long>"))).alias("found"),
     )
     if repeats:
         rows = rows.withColumn("windows", F.sort_array(_windows(F.col("h"), F.col("bits"))))
-        m = F.size("windows")
-        key = lambda a: F.call_function("shiftrightunsigned", a, F.col("bits"))
-        place = lambda a: a - F.call_function("shiftleft", key(a), F.col("bits"))
-        pair = F.zip_with(F.slice("windows", 1, F.greatest(m - 1, F.lit(0))), F.slice("windows", 2, F.greatest(m - 1, F.lit(0))), lambda a, b: F.when(key(a) == key(b), F.struct(place(a).alias("a"), place(b).alias("b"))))
-        rows = rows.withColumn("pairs", F.filter(pair, lambda p: p.isNotNull()))
+        pairs, exact = _equal_windows(F.col("h"), F.col("windows"), F.col("bits"))
+        # A position takes bits from the hash, so the words decide; where they differ, the text is sorted anew by its words.
+        rows = rows.withColumn("pairs", pairs).withColumn("pairs", F.when(exact, F.col("pairs")).otherwise(_equal_triples(F.col("h"))))
         starts = F.array_distinct(F.concat(F.transform("pairs", lambda p: p["a"]), F.transform("pairs", lambda p: p["b"])))
         rows = rows.withColumn("starts", starts)
         covered = F.concat("starts", F.transform("starts", lambda p: p + 1), F.transform("starts", lambda p: p + 2))
