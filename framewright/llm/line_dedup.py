@@ -1,7 +1,7 @@
 """Line deduplication across documents, with DataFrame operations only.
 
 Hashes of line keys are range-partitioned and sorted within partitions by document and position; a streaming
-window keeps the first document of every key. What comes back per document is a sparse keep bitmap, not text.
+window keeps the first document of every key. What comes back per document is a keep bitmap, not text.
 Keys that the sketch finds hot are aggregated map-side instead, so no key has to fit one task.
 """
 
@@ -19,7 +19,9 @@ def _lines(text: Column) -> Column:
 
 def line_keys(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     """(h1, h2, doc_id, th, pos) of every line whose key is long enough; rows without doc_id give none."""
-    lines = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
+    # The hash in a step of its own: beside the generator it would be taken anew for every line.
+    rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("text").alias("th"), "text")
+    lines = rows.select("doc_id", "th", F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
     key = ascii_lower(F.btrim(F.col("line"), F.lit(SPACES)))
     lines = lines.select("doc_id", "th", "pos", key.alias("key")).where(F.length("key") >= min_chars)
     return lines.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "doc_id", "th", "pos")
@@ -28,7 +30,7 @@ def line_keys(docs: DataFrame, min_chars: int = 10) -> DataFrame:
 def keep_bitmaps(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     """(doc_id, th, keep, n_dropped) of the documents that lose lines.
 
-    keep lists (word, bits) for each 64 lines from which some go; a word that is not listed keeps all of its lines.
+    keep has a bit for each line, 64 to an element, up to the last element from which a line goes.
     """
     keys = materialize(line_keys(docs, min_chars), "line-keys")
     hot, cold = split_hot(keys, "h1")
@@ -39,10 +41,17 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     late = late_hot.select("doc_id", "th", "pos").unionByName(late_cold.select("doc_id", "th", "pos"))
     late = late.select("doc_id", "th", F.expr("cast(pos div 64 as int)").alias("word"), F.expr("shiftleft(1L, pos % 64)").alias("bit"))
     words = late.repartition("doc_id", "th").groupBy("doc_id", "th", "word").agg(F.bit_or("bit").alias("drop"))
-    return words.groupBy("doc_id", "th").agg(
-        F.array_sort(F.collect_list(F.struct("word", F.bitwise_not("drop").alias("bits")))).alias("keep"),
+    by_row = words.groupBy("doc_id", "th").agg(
+        F.collect_list(F.struct("word", F.bitwise_not("drop").alias("bits"))).alias("some"),
+        F.max("word").alias("last"),
         F.sum(F.bit_count("drop")).cast("long").alias("n_dropped"),
     )
+    # Every element with all bits, then those that lose some, in order: of equal words the latter come last.
+    every = F.transform(F.sequence(F.lit(0), F.col("last")), lambda w: F.struct(w.alias("word"), F.lit(False).alias("known"), F.lit(-1).cast("long").alias("bits")))
+    some = F.transform("some", lambda s: F.struct(s["word"].alias("word"), F.lit(True).alias("known"), s["bits"].alias("bits")))
+    both = by_row.select("doc_id", "th", "n_dropped", F.sort_array(F.concat(every, some)).alias("both"))
+    last = F.zip_with("both", F.slice("both", 2, F.size("both")), lambda a, b: F.when(b.isNull() | (a["word"] != b["word"]), a["bits"]))
+    return both.select("doc_id", "th", F.filter(last, lambda x: x.isNotNull()).alias("keep"), "n_dropped")
 
 
 def drop_repeated_lines(docs: DataFrame, min_chars: int = 10) -> DataFrame:
@@ -59,8 +68,7 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     maps = keep_bitmaps(docs, min_chars).withColumnsRenamed({"doc_id": "_doc_id", "th": "_th"})
     rows = docs.select(F.struct("*").alias("doc"))
     joined = rows.join(maps, (F.col("doc.doc_id") == F.col("_doc_id")) & (F.xxhash64("doc.text") == F.col("_th")), "left")
-    by_word = F.map_from_entries("keep")
-    bits = lambda i: F.coalesce(F.element_at(by_word, F.floor(i / 64).cast("int")), F.lit(-1).cast("long"))
+    bits = lambda i: F.coalesce(F.get("keep", F.floor(i / 64).cast("int")), F.lit(-1).cast("long"))
     stays = lambda _, i: F.expr("1L") == F.call_function("shiftrightunsigned", bits(i), i % 64).bitwiseAND(F.lit(1).cast("long"))
     kept = F.array_join(F.filter(_lines(F.col("doc.text")), stays), "\n")
     return joined.select(
