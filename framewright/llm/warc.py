@@ -133,7 +133,11 @@ def coalesced(ranges: list[tuple[int, int]], gap: int = GAP, most: int = MOST_RE
 
 
 def read_records(index: DataFrame, payloads: bool = True) -> DataFrame:
-    """The records that these index rows name, as RECORD; payload is null for revisits, and for all without payloads."""
+    """The records that these index rows name, as RECORD; payload is null for revisits, and for all without payloads.
+
+    A row that the index repeats is read as often; an empty index gives no records. Further columns are not read. A
+    payload that doesn't have the digest of its header, or a range that isn't a record, raises an error.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, source = None, None
@@ -155,4 +159,7 @@ def read_records(index: DataFrame, payloads: bool = True) -> DataFrame:
                     yield _batch(found if payloads else [(*f[:-1], None) for f in found], RECORD)
                 at = end
 
-    return index.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset").mapInArrow(tidy(read), RECORD)
+    # The tasks' number follows the bytes to be read; the index rows that are shuffled say little about them.
+    most = index.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    tasks = max(1, -(-(index.agg(F.sum("length")).first()[0] or 0) // most))
+    return index.select("file", "offset", "length").repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset").mapInArrow(tidy(read), RECORD)
