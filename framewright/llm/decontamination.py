@@ -8,7 +8,7 @@ the document's length where it may end (length bound), and the words in between
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, materialize
@@ -16,7 +16,8 @@ from .common import ascii_lower, materialize
 #: What separates words: all of ASCII but digits and (lower-cased) letters.
 BREAK_CLASS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
 WINDOW = 13
-#: Item words handled in one pass; larger benchmarks take more passes, so what is broadcast stays bounded.
+#: Item windows handled in one pass over the documents. Windows are dealt by their hash, those of one item as well, so
+#: larger benchmarks and items take more passes, and what is broadcast stays bounded. Also the most words looked up.
 BLOCK_WORDS = 200_000
 
 
@@ -33,20 +34,32 @@ def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
     return words.select("item_id", F.explode(F.transform(starts, lambda i: F.slice("w", i + 1, window))).alias("words")).distinct()
 
 
-def _corpus_counts(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """How often each of these words is in the documents."""
-    hits = F.filter(folded_words(F.col("text")), lambda w: w.isin(vocabulary))
-    return docs.select(F.explode(hits).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+def _corpus_counts(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(word, n): how often these words are in the documents, in one scan whatever the size of the benchmark.
+
+    A vocabulary of at most BLOCK_WORDS is looked up before anything is counted; for a larger one, which is neither
+    collected nor broadcast, all words are counted, with partial sums before they move.
+    """
+    found = folded_words(F.col("text"))
+    known = [r[0] for r in vocabulary.limit(BLOCK_WORDS + 1).collect()]
+    if len(known) <= BLOCK_WORDS:
+        found = F.filter(found, lambda w: w.isin(known))
+    counts = docs.select(F.explode(found).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return counts if len(known) <= BLOCK_WORDS else counts.join(vocabulary, "word", "left_semi")
 
 
 def _signatures(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """Each window with its rarest word `word` and that word's offset `at`."""
-    vocabulary = [r[0] for r in windows.select(F.explode("words").alias("w")).distinct().collect()]
-    counts = _corpus_counts(docs, vocabulary)
-    tokens = windows.select("item_id", "words", F.posexplode("words").alias("at", "word")).join(counts, "word", "left")
-    rank = Window.partitionBy("item_id", "words").orderBy(F.coalesce("n", F.lit(0)), "word", "at")
-    first = tokens.withColumn("r", F.row_number().over(rank)).where("r = 1")
-    return materialize(first.where("n > 0").select("item_id", "words", "word", "at"), "signatures")
+    """Each window with its block, its rarest word `word` and that word's offset `at`.
+
+    Words are ranked by an aggregate of each window, so no task gathers the windows that share a word; the counts of
+    at most BLOCK_WORDS words are broadcast, more of them are joined with their frequent words split at run time.
+    """
+    vocabulary = materialize(windows.select(F.explode("words").alias("word")).distinct(), "vocabulary")
+    counts = materialize(_corpus_counts(docs, vocabulary), "counts")
+    counts = F.broadcast(counts) if vocabulary.count() <= BLOCK_WORDS else counts
+    tokens = windows.select("item_id", "block", "words", F.posexplode("words").alias("at", "word")).join(counts, "word", "left")
+    first = tokens.groupBy("item_id", "block", "words").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "at")).alias("first"))
+    return materialize(first.where("first.n > 0").select("item_id", "block", "words", "first.word", "first.at"), "signatures")
 
 
 def benchmark_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -57,13 +70,15 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> D
     words, and items whose id is null, match nothing. Empty tables on either side are fine, further columns unused.
     """
     items = items.where(F.col("item_id").isNotNull()).select("item_id", "text")
-    total = items.agg(F.sum(F.size(folded_words(F.col("text"))))).first()[0] or 0
-    blocks = max(1, -(-total // BLOCK_WORDS))
+    windows = materialize(item_windows(items, window), "windows")
+    total = windows.agg(F.sum(F.size("words"))).first()[0] or 0
+    blocks = max(1, -(-total // (window * BLOCK_WORDS)))
+    signatures = _signatures(docs.select("text"), windows.withColumn("block", F.pmod(F.xxhash64("words"), F.lit(blocks))))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("th"), "text")
+    rows = rows if blocks == 1 else materialize(rows, "rows")  # each pass must see the same row numbers
     hits = None
     for block in range(blocks):
-        windows = materialize(item_windows(items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block), window), "windows")
-        found = _hits_of(rows, _signatures(docs.select("text"), windows), window)
+        found = _hits_of(rows, signatures.where(F.col("block") == block), window)
         hits = found if hits is None else hits.unionByName(found)
     spans = F.collect_set(F.when(F.col("item_id").isNotNull(), F.struct("start", "length")))
     by_row = hits.groupBy("row", "doc_id", "th").agg(F.max("n_words").cast("long").alias("n_words"), spans.alias("spans"), F.collect_set(F.col("item_id").cast("string")).alias("ids"))
