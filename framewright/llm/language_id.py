@@ -1,14 +1,16 @@
 """Language identification by a bidirectional gated recurrent network over bytes, trained in numpy.
 
-The network reads the bytes of one segment (a word with the space behind it; long words are cut), labels every byte
-position, and a document's probabilities pool the log-probabilities of all its positions. Since a segment's labels
-depend on nothing else, workers remember the sums of segments they have met.
+The network reads a text's UTF-8 bytes in stretches of SPAN bytes, each with CONTEXT bytes on either side: the states of
+both directions start at zero at the ends of that window, run over spaces and words alike, and label every byte of the
+stretch. A document's probabilities pool the log-probabilities of all its bytes. Stretches are independent of each
+other, so a long text is as parallel as many short ones; the network is trained on windows as well.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -17,16 +19,16 @@ from pyspark.sql import functions as F
 
 from .common import tidy
 
-#: Bytes of a segment, hidden units of each direction.
-SEGMENT, HIDDEN = 32, 16
-#: The bounded sample that is learned from: documents of each language, and segments of each language drawn from them.
-SAMPLE_DOCS, SAMPLE_SEGMENTS = 250, 12_000
+#: Bytes that a window labels, those it only reads on either side, hidden units of each direction.
+SPAN, CONTEXT, HIDDEN = 512, 32, 8
+#: The bounded sample that is learned from: documents of each language, and windows (of so many characters) of each document.
+SAMPLE_DOCS, SAMPLE_WINDOWS, WINDOW_CHARS = 250, 32, 72
 #: Steps for up to STEP_LANGUAGES languages; with more, in proportion, so that a language is met as often.
-STEPS, BATCH, RATE, STEP_LANGUAGES = 240, 384, 0.02, 64
-#: Share of the training segments that are put in capitals.
+STEPS, BATCH, RATE, STEP_LANGUAGES = 240, 256, 0.03, 64
+#: Share of the training windows that are put in capitals.
 CAPITALS = 0.1
-#: Segments a worker remembers before it starts anew.
-MEMORY = 400_000
+#: Windows that run side by side, and how many are gathered to sort them by size.
+LANES, GATHERED = 1024, 8192
 
 
 @dataclass
@@ -41,14 +43,58 @@ class Model:
         both = np.concatenate([_run(self.weights, "f", codes, mask)[0], _run(self.weights, "r", codes[::-1], mask[::-1])[0][::-1]], 2)
         return _log_softmax(both @ self.weights["v"] + self.weights["c"])
 
-    def segment_sums(self, segments: list[bytes]) -> np.ndarray:
-        """For each segment the sum of its positions' log-probabilities."""
-        out = np.zeros((len(segments), len(self.languages)), np.float32)
-        order = sorted(range(len(segments)), key=lambda i: len(segments[i]))
-        for at in range(0, len(order), 2048):
-            own = order[at : at + 2048]
-            codes, mask = padded([segments[i] for i in own])
-            out[own] = (self.positions(codes, mask) * mask[..., None]).sum(0)
+    def window_sums(self, windows: list[tuple[bytes, int, int]]) -> np.ndarray:
+        """For each window (bytes, from, to) the sum of the log-probabilities of its positions from <= i < to.
+
+        Windows lie side by side, the longest first, so those that still run are always the first ones.
+        """
+        out = np.zeros((len(windows), len(self.languages)), np.float64)
+        order = sorted(range(len(windows)), key=lambda i: -len(windows[i][0]))
+        for at in range(0, len(order), LANES):
+            own = order[at : at + LANES]
+            out[own] = self._lanes([windows[i] for i in own])
+        return out
+
+    def _lanes(self, windows: list[tuple[bytes, int, int]]) -> np.ndarray:
+        n = len(windows[0][0])
+        codes = np.ascontiguousarray(np.frombuffer(b"".join(w.ljust(n, b"\0") for w, _, _ in windows), np.uint8).reshape(len(windows), n).T)
+        sizes, start, stop = (np.array(x) for x in zip(*((len(w), a, b) for w, a, b in windows), strict=True))
+        active = np.searchsorted(-sizes, -np.arange(n), side="left")  # windows longer than t
+        states = [self._states(d, codes, active) for d in "fr"]
+        v, c, h = self.weights["v"].T, self.weights["c"][:, None], self.weights["uf"].shape[0]
+        vf, vr = np.ascontiguousarray(v[:, :h]), np.ascontiguousarray(v[:, h:])
+        total = np.zeros((len(self.languages), len(windows)), np.float64)
+        for t in range(n):
+            m = active[t]
+            x = vf @ states[0][t][:, :m] + vr @ states[1][t][:, :m] + c
+            x -= x.max(0)
+            x -= np.log(np.exp(x).sum(0))
+            total[:, :m] += x * ((start[:m] <= t) & (t < stop[:m]))
+        return total.T
+
+    def _states(self, d: str, codes: np.ndarray, active: np.ndarray) -> np.ndarray:
+        """(time, unit, window): states of one direction; a window's first state comes from zero."""
+        n = self.weights["u" + d].shape[0]
+        w = np.ascontiguousarray((self.weights["w" + d] + self.weights["b" + d]).T)
+        gates, new = np.ascontiguousarray(self.weights["u" + d][:, : 2 * n].T), np.ascontiguousarray(self.weights["u" + d][:, 2 * n :].T)
+        out = np.empty((len(codes), n, codes.shape[1]), np.float32)
+        h = np.zeros((n, codes.shape[1]), np.float32)
+        for t in range(len(codes)) if d == "f" else range(len(codes) - 1, -1, -1):
+            m = active[t]
+            x, own = w[:, codes[t, :m]], h[:, :m]
+            zr = gates @ own
+            zr += x[: 2 * n]
+            zr *= 0.5  # the logistic function by tanh
+            np.tanh(zr, out=zr)
+            zr += 1
+            zr *= 0.5
+            q = new @ (zr[n:] * own)
+            q += x[2 * n :]
+            np.tanh(q, out=q)
+            q -= own
+            q *= zr[:n]
+            own += q
+            out[t, :, :m] = own
         return out
 
 
@@ -123,24 +169,20 @@ def loss_and_gradient(p: dict[str, np.ndarray], codes: np.ndarray, mask: np.ndar
     return float(-(logs[:, np.arange(len(label)), label] * mask).sum() / total), out
 
 
-def segments_of(text: str) -> list[bytes]:
-    """Every byte of a text but its spaces, word by word, each word with one space behind it."""
-    words = text.encode("utf-8", "replace").split()
-    if len(max(words, key=len, default=b"")) < SEGMENT:
-        return [w + b" " for w in words]
-    return [s for w in words for s in [(w + b" ")[i : i + SEGMENT] for i in range(0, len(w) + 1, SEGMENT)]]
+def windows_of(text: bytes, span: int = SPAN, context: int = CONTEXT) -> Iterator[tuple[bytes, int, int]]:
+    """(bytes, from, to) windows, whose stretches [from, to) hold every byte of a text once."""
+    for at in range(0, len(text), span):
+        low, end = max(0, at - context), min(len(text), at + span)
+        yield text[low : end + context], at - low, end - low
 
 
 def train(texts: dict[str, list[str]], seed: int = 7, steps: int = STEPS) -> Model:
-    """Fit the network to texts by language, with Adam on balanced batches of segments."""
+    """Fit the network to windows of text by language, with Adam on batches balanced by language."""
     rng = np.random.default_rng(seed)
     languages = sorted(texts)
-    pools = []
-    for language in languages:
-        own = [s for t in texts[language] for s in segments_of(t)]
-        drawn = [own[i] for i in rng.choice(len(own), min(SAMPLE_SEGMENTS, len(own)), replace=False)]
-        pools.append([s.decode("utf-8", "ignore").upper().encode()[:SEGMENT] if rng.random() < CAPITALS else s for s in drawn])
-    n, k = HIDDEN, len(languages)
+    pools = [[(t.upper() if rng.random() < CAPITALS else t).encode("utf-8", "replace")[: WINDOW_CHARS + CONTEXT] for t in texts[language]] for language in languages]
+    k = len(languages)
+    n = min(4 * HIDDEN, max(HIDDEN, k // 4))
     steps = -(-steps * max(k, STEP_LANGUAGES) // STEP_LANGUAGES)
     normal = lambda *shape, scale: (rng.standard_normal(shape) * scale).astype(np.float32)
     p = {"v": normal(2 * n, k, scale=0.2), "c": np.zeros(k, np.float32)}
@@ -165,13 +207,23 @@ def is_held_out(doc_id: Column) -> Column:
 
 
 def sample_texts(docs: DataFrame, per_language: int = SAMPLE_DOCS) -> dict[str, list[str]]:
-    """Texts of at most per_language training documents of each language, chosen by a hash of doc_id."""
+    """Windows of at most per_language training documents of each language, chosen by a hash of doc_id.
+
+    SAMPLE_WINDOWS windows at places given by a hash are cut from a document where it lies, so what comes to the driver
+    is bounded by the number of languages, however long the texts or often a doc_id.
+    """
     may = docs.where(F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     rank = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = may.select("doc_id", "lang").withColumn("r", F.row_number().over(rank)).where(f"r <= {per_language}")
+    places = F.greatest(F.lit(1), F.length("text") - WINDOW_CHARS + 1)
+    at = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(SAMPLE_WINDOWS - 1)), lambda i: F.pmod(F.xxhash64(F.col("doc_id"), i), places).cast("int")))
+    cut = F.transform(at, lambda i: F.substring(F.col("text"), i + 1, F.lit(WINDOW_CHARS)))
+    rows = may.select("doc_id", "lang", "text").join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id", "lang", cut.alias("cut"))
+    again = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "cut")  # a chosen doc_id may have many rows
+    rows = rows.withColumn("r", F.row_number().over(again)).where(f"r <= {per_language}")
     out: dict[str, list[str]] = {}
-    for lang, text in sorted(may.select("doc_id", "lang", "text").join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi").select("lang", "text").toLocalIterator()):
-        out.setdefault(lang, []).append(text)
+    for lang, cuts in sorted(rows.select("lang", "cut").collect()):
+        out.setdefault(lang, []).extend(cuts)
     return out
 
 
@@ -182,36 +234,21 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     """SCHEMA for each row of docs, from text alone; und with score 0 where text is null or has no letter."""
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, int] = {}
-        sums = np.zeros((MEMORY * 2, len(model.languages)), np.float32)
         for batch in batches:
-            for at in range(0, len(batch), 500):
-                part = batch.slice(at, 500)
+            for at in range(0, len(batch), 1000):
+                part = batch.slice(at, 1000)
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 spoken = [bool(model.languages) and any(map(str.isalpha, t)) for t in texts]
-                segments = [segments_of(t) if s else [] for t, s in zip(texts, spoken, strict=True)]
-                new = list({s for own in segments for s in own if s not in known})
-                if len(known) + len(new) > MEMORY:
-                    known, new = {}, list({s for own in segments for s in own})
-                if len(new) > len(sums):
-                    sums = np.zeros((len(new), len(model.languages)), np.float32)
-                start = len(known)
-                known |= {s: start + i for i, s in enumerate(new)}
-                if new:
-                    if start + len(new) > len(sums):
-                        sums = np.concatenate([sums, np.zeros((len(new), sums.shape[1]), np.float32)])
-                    sums[start : start + len(new)] = model.segment_sums(new)
-                langs, scores = [], []
-                for text_has, own in zip(spoken, segments, strict=True):
-                    if not text_has:
-                        langs.append("und")
-                        scores.append(0.0)
-                        continue
-                    total = sums[[known[s] for s in own]].sum(0, dtype=np.float64) / sum(map(len, own))
-                    shares = np.exp(total - total.max())
+                total = np.zeros((len(texts), len(model.languages)))
+                all_windows = ((i, w) for i, t in enumerate(texts) if spoken[i] for w in windows_of(t.encode("utf-8", "replace")))
+                while gathered := list(islice(all_windows, GATHERED)):
+                    np.add.at(total, [i for i, _ in gathered], model.window_sums([w for _, w in gathered]))
+                langs, scores = ["und"] * len(texts), [0.0] * len(texts)
+                for i in np.flatnonzero(spoken):
+                    mean = total[i] / len(texts[i].encode("utf-8", "replace"))
+                    shares = np.exp(mean - mean.max())
                     best = int(shares.argmax())
-                    langs.append(model.languages[best])
-                    scores.append(float(shares[best] / shares.sum()))
+                    langs[i], scores[i] = model.languages[best], float(shares[best] / shares.sum())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("held_out"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     return docs.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(tidy(label), SCHEMA)
@@ -220,7 +257,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 def identify_languages(docs: DataFrame) -> DataFrame:
     """Train on a sample of the labelled documents that aren't held out, and label every row of docs.
 
-    Every language is learned, from at most SAMPLE_DOCS documents and SAMPLE_SEGMENTS segments of it. Returns SCHEMA. lang, source and doc_id are no inputs of a prediction. Rows with a null lang or doc_id teach nothing
+    Every language is learned, from at most SAMPLE_WINDOWS windows of each of SAMPLE_DOCS documents of it. Returns
+    SCHEMA. lang, source and doc_id are no inputs of a prediction. Rows with a null lang or doc_id teach nothing and
     and are labelled all the same; a null doc_id is not held out. Without any labelled document all is und. Repeated
     rows are labelled one by one, an empty table gives an empty table, further columns are not read.
     """
