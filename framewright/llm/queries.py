@@ -24,8 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    out = prefix_token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), 4096, store=False)
-    return out.drop("prefix_table")
+    return prefix_token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), 4096)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,7 +115,8 @@ ORACLES = {
         tri AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS n FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 2)) AS i FROM d WHERE len(w) >= 3)),
         rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM tri WHERE n > 1) GROUP BY doc_id),
         b0 AS (SELECT *, length(t) AS chars, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, {_COUNT.format("[#*$%&|<>]")}::BIGINT AS n_symbols,
-            list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS lines FROM d),
+            list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) AS lines FROM d),
         b AS (SELECT b0.*, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words FROM b0 LEFT JOIN rep USING (doc_id)),
         c0 AS (SELECT doc_id, lang, chars, {", ".join(f"({x})::DOUBLE AS k{i}" for i, x in enumerate(_CLASSES))} FROM b),
         c AS (SELECT doc_id, lang, chars, unnest(['0', '1', '2', '3', '4', '5']) AS k, unnest([k0, k1, k2, k3, k4, greatest(0, chars - k0 - k1 - k2 - k3 - k4)]) AS n FROM c0),
