@@ -185,9 +185,67 @@ def test_every_language_is_learned(spark):
     assert sum(p == f"l{k:02d}" for k, p in found) >= 0.9 * 70 and {p for k, p in found if k >= 64} & {f"l{k}" for k in range(64, 70)}
 
 
-def test_segments_hold_every_byte_but_spaces():
+def test_windows_hold_every_byte_once():
     for _, t, *_ in texts():
-        assert b"".join(LI.segments_of(t or "")).replace(b" ", b"") == b"".join((t or "").encode().split())
+        data = (t or "").encode()
+        for span, context in ((512, 32), (7, 3), (1, 5)):
+            found = list(LI.windows_of(data, span, context))
+            assert b"".join(w[a:b] for w, a, b in found) == data
+            assert all(a <= context and len(w) - b <= context for w, a, b in found)
+
+
+def labels_by_force(model, text, span, context):
+    """The network byte by byte, with a loop over units' formulas and nothing side by side."""
+    p, data, total = model.weights, text.encode(), 0
+    n = p["uf"].shape[0]
+    sigma = lambda x: 1 / (1 + np.exp(-x))
+
+    def states(d, window):
+        h, out = np.zeros(n), []
+        for byte in window:
+            x = p["w" + d][byte] + p["b" + d]
+            z, r = (sigma(x[i * n : i * n + n] + h @ p["u" + d][:, i * n : i * n + n]) for i in (0, 1))
+            q = np.tanh(x[2 * n :] + (r * h) @ p["u" + d][:, 2 * n :])
+            h = (1 - z) * h + z * q
+            out.append(h)
+        return out
+
+    for at in range(0, len(data), span):
+        low = max(0, at - context)
+        window = data[low : at + span + context]
+        both = [np.concatenate(x) for x in zip(states("f", window), states("r", window[::-1])[::-1])]
+        for h in both[at - low : at - low + span]:
+            x = h @ p["v"] + p["c"]
+            total = total + x - np.log(np.exp(x).sum())
+    shares = np.exp(total / len(data))
+    return shares / shares.sum()
+
+
+def test_predictions_by_force(spark, monkeypatch):
+    """Whole texts, labelled byte by byte in plain loops; the windows small, so that a text has many."""
+    monkeypatch.setattr(LI, "LANES", 3)
+    monkeypatch.setattr(LI, "GATHERED", 7)
+    monkeypatch.setattr(LI.windows_of, "__defaults__", (48, 8))
+    rows = texts()
+    model = LI.train({"en": [t for _, t, lang, *_ in rows if lang == "en" and t], "de": [t for _, t, lang, *_ in rows if lang == "de" and t]}, steps=40)
+    found = sorted((r.doc_id is None, str(r.doc_id), r.lang_pred, round(r.score, 4)) for r in LI.predict(documents(spark), model).collect())
+    expected = []
+    for d, t, *_ in rows:
+        if any(map(str.isalpha, t or "")):
+            shares = labels_by_force(model, t, 48, 8)
+            expected.append((d is None, str(d), model.languages[int(shares.argmax())], round(float(shares.max()), 4)))
+        else:
+            expected.append((d is None, str(d), "und", 0.0))
+    assert [x[:3] for x in found] == [x[:3] for x in sorted(expected)]
+    assert all(abs(a[3] - b[3]) < 1e-3 for a, b in zip(found, sorted(expected)))
+
+
+def test_samples_are_bounded(spark):
+    """A chosen doc_id with many rows, and a very long text, bring no more than the bound."""
+    rows = [(1, f"wort {i}", "de", None, 1) for i in range(600)] + [(4, "word " * 200_000, "en", None, 1)]
+    found = LI.sample_texts(documents(spark, rows, extra=False))
+    assert len(found["de"]) <= LI.SAMPLE_DOCS * LI.SAMPLE_WINDOWS and len(found["en"]) <= LI.SAMPLE_WINDOWS
+    assert all(len(w) <= LI.WINDOW_CHARS for own in found.values() for w in own)
 
 
 PAGES = [(5, "http://a/ b\r\n", "<p>x</p>"), (2, None, "<p>x</p>"), (2, "u", "<p>x</p>"), (9, "u9", None), (3, "u3", ""), (None, "n", "<p>x</p>"), (None, "n", "only null"), (None, "m", "only null"), (7, "u7", "é" * 70_000), (8, "u8", "Content-Length: 3\r\n\r\nx")]

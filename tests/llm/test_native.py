@@ -1,6 +1,7 @@
 """Quality rules, line deduplication and decontamination against brute force."""
 
 import hashlib
+import time
 import re
 from collections import Counter
 
@@ -40,6 +41,19 @@ def test_quality_counts(spark):
     assert QR.quality_rules(documents(spark, [])).count() == 0
 
 
+def test_quality_counts_when_packed_hashes_collide(spark, monkeypatch):
+    """With a few bits of hash left, every text has windows of equal packed hashes; the words decide."""
+    monkeypatch.setattr(QR, "SPARE_BITS", 48)
+    found = QR.features(documents(spark)).select("doc.doc_id", "n_repeat_words").collect()
+    monkeypatch.undo()
+    same(found, QR.features(documents(spark)).select("doc.doc_id", "n_repeat_words").collect())
+
+
+def test_quality_of_a_very_long_text(spark):
+    rows = [(1, " ".join(map(str, range(1_000_000))), "en", "s", 1)]
+    assert QR.features(documents(spark, rows, extra=False)).first().n_repeat_words == 0
+
+
 def test_quality_distances(spark):
     """Histograms and Jensen-Shannon distances as numpy has them."""
     docs = documents(spark, extra=False).where("text IS NOT NULL")
@@ -109,6 +123,16 @@ def test_lines(spark):
     assert LD.drop_repeated_lines(documents(spark, [])).count() == 0
 
 
+def test_many_lines(spark):
+    """A text of 128,000 lines in time that grows with them."""
+    body = "\n".join(f"a line of text, number {i}" for i in range(128_000))
+    rows = [(1, body, "en", "s", 1), (2, body + "\nand one line more", "en", "s", 1)]
+    began = time.time()
+    out = {r.doc_id: r for r in LD.drop_repeated_lines(documents(spark, rows, extra=False)).select("doc.doc_id", "n_dropped", "kept_text").collect()}
+    assert (out[1].n_dropped, out[1].kept_text) == (0, body) and (out[2].n_dropped, out[2].kept_text) == (128_000, "and one line more")
+    assert time.time() - began < 60
+
+
 def test_hot_lines(spark):
     """A line that half of all documents hold goes the aggregated way."""
     rows = [(i, f"a line that is everywhere\nown line number {i}\n" + "x" * 70 + "\n" * (i % 130), "en", "s", 1) for i in range(900)]
