@@ -13,15 +13,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hot_keys, tidy
+from .common import bucketed, tidy
 
 #: Multiplier of the rolling hash (odd, so it has an inverse), that of a span's size, and symbols handled at once.
 BASE, SIZED, PIECE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 1 << 20
 WORDS_KEPT = 250_000
-BLOCK = "d long, t int, a long, b long, s0 int, nw int, off int, rep int"
+BLOCK = "row long, d long, a long, b long, s0 int, nw int, off int, rep int"
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -107,86 +107,159 @@ def byte_symbols() -> np.ndarray:
     return mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
 
 
-def keyed(docs: DataFrame, last: int | None = None) -> DataFrame:
-    """doc_id, text, and the key (d, t) of a row: doc_id (null: last, else 0) and a hash of the text.
+def _columns(schema: str, columns: list) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    names = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, names, strict=True)], names=[n for n, _ in names])
 
-    Rows with equal keys have equal doc_id and text, and so the same result.
+
+def numbered(docs: DataFrame, last: int | None = None, base: int = 0, **more: Column) -> DataFrame:
+    """(row, doc_id, d, size, more, z), written and bucketed by row: a number from base on for each row of docs, its
+    doc_id, that with null as last (or 0), its text's bytes, longs, and the text compressed (null for null).
+
+    Rows are known by their numbers from here on, so equal or null doc_ids and equal texts can't be mistaken.
     """
+
+    names = ["row", "doc_id", "d", "size", *more]
+
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        press = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            for at in range(0, len(batch), 500):
+                part = batch.slice(at, 500)
+                z = [None if t is None else press.compress(t) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(z, pa.binary())], names=[*names, "z"])
+
     d = F.coalesce(F.col("doc_id").cast("long"), F.lit(last or 0).cast("long"))
-    return docs.select("doc_id", "text", d.alias("d"), F.hash("text").alias("t"))
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    out = docs.select((F.monotonically_increasing_id() + base).alias("row"), "doc_id", d.alias("d"), size.alias("size"), *(c.alias(n) for n, c in more.items()), F.col("text").cast("binary").alias("text"))
+    schema = f"row long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, d long, size long, {''.join(f'{n} long, ' for n in more)}z binary"
+    return bucketed(out.mapInArrow(tidy(squeeze), schema), ["row"], "texts")
 
 
 def block_rows(docs: DataFrame, length: int, k: int, words: bool) -> DataFrame:
-    """BLOCK rows of keyed documents; symbols are words or bytes."""
+    """BLOCK rows of numbered documents; symbols are words or bytes."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, table = WordHashes(), byte_symbols()
+        import zstandard
+
+        loose, hashes, table = zstandard.ZstdDecompressor(), WordHashes(), byte_symbols()
         for batch in batches:
             for at in range(0, len(batch), 500):
                 part = batch.slice(at, 500)
                 found: list[list[np.ndarray]] = [[] for _ in range(8)]
-                for d, t, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                for row, d, z in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    text = loose.decompress(z)
                     symbols = hashes.symbols(text.split()) if words else table[np.frombuffer(text, np.uint8)]
                     for a, b, *rest in blocks_of(symbols, length, k):
-                        for column, x in zip(found, (np.full(len(a), d), np.full(len(a), t), a.view(np.int64), b.view(np.int64), *rest), strict=True):
+                        for column, x in zip(found, (np.full(len(a), row), np.full(len(a), d), a.view(np.int64), b.view(np.int64), *rest), strict=True):
                             column.append(x)
                 if found[0]:
-                    names = [x.split() for x in BLOCK.split(", ")]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64() if k_ == "long" else pa.int32()) for c, (_, k_) in zip(found, names, strict=True)], names=[n for n, _ in names])
+                    yield _columns(BLOCK, [np.concatenate(c) for c in found])
+
+    least = F.col("size") >= (2 * length - 1 if words else length)
+    return docs.where(least).select("row", "d", "z").mapInArrow(tidy(find), BLOCK)
+
 
-    least = F.octet_length("text") >= (2 * length - 1 if words else length)
-    return docs.where(least).select("d", "t", F.col("text").cast("binary").alias("text")).mapInArrow(tidy(find), BLOCK)
+MARK = "row long, s0 int, nw int, rep int, src long, src0 int"
+SPAN = "row long, start int, size int, rep int, step int, src long, src_start int"
+CLAIM = "row long, start int, size int, rep int, step int, body binary"
 
 
-def shared_blocks(rows: DataFrame, earlier: bool, written) -> DataFrame:
-    """Blocks whose anchor occurs more than once, with flags covered, expand and hot.
+def spans_of(marks: DataFrame, length: int) -> DataFrame:
+    """SPAN rows from MARK rows, neighbours that continue each other at the same source merged.
 
-    covered: all windows of the block are known to repeat. expand: its windows must be compared one by one with those
-    of other blocks at the anchor. With earlier, a repeat must be in a document of smaller d; else it may be anywhere.
-    Rows of hot anchors are aggregated map-side and joined back, the others meet in one task per anchor.
+    A mark says that the nw windows of a row from s0 on, and that again rep times in a row, are those of src from src0
+    on. A span is the symbols under them: size symbols from start on, repeated rep times every step symbols.
     """
-    keys = F.broadcast(hot_keys(rows, "a"))
-    cold, hot = rows.join(keys, "a", "left_anti"), rows.join(keys, "a", "left_semi")
-    anchor, block = Window.partitionBy("a"), Window.partitionBy("a", "b")
-    place = F.struct("d", "t", "s0")
-    cold = cold.repartition("a").select(
-        "*",
-        F.sum("rep").over(anchor).alias("n_a"),
-        (F.min("d").over(anchor) < F.max("d").over(anchor)).alias("apart"),
-        F.sum("rep").over(block).alias("n_ab"),
-        F.min(place).over(block).alias("first"),
-    ).where("n_a > 1").withColumn("hot", F.lit(False))
-    by_block = written(hot.groupBy("a", "b").agg(F.sum("rep").alias("n_ab"), F.min(place).alias("first"), F.max("d").alias("last_d")))
-    by_anchor = by_block.groupBy("a").agg(F.sum("n_ab").alias("n_a"), (F.min("first.d") < F.max("last_d")).alias("apart"))
-    hot = hot.join(by_block.drop("last_d"), ["a", "b"]).join(F.broadcast(by_anchor), "a").where("n_a > 1").withColumn("hot", F.lit(True))
-    both = cold.unionByName(hot)
-    others = F.col("n_ab") < F.col("n_a")
-    if earlier:
-        covered, expand = F.col("d") > F.col("first.d"), (F.col("d") == F.col("first.d")) & others
-        both = both.where("apart")
-    else:
-        covered, expand = F.col("n_ab") > 1, (place == F.col("first")) & others
-    return both.select("d", "t", "a", "s0", "nw", "off", "rep", covered.alias("covered"), expand.alias("expand"), "hot").where("covered or expand")
-
-
-def by_document(marks: DataFrame, *columns: str) -> DataFrame:
-    """One row per key with the list `marks` of its rows; a list is bounded by its document."""
-    return marks.groupBy("d", "t").agg(F.collect_list(F.struct(*columns)).alias("marks"))
-
-
-def packed_texts(docs: DataFrame, *extra: Column) -> DataFrame:
-    """Keyed documents with the text compressed (column z, null for null), for shuffles."""
 
-    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            row, s0, nw, rep, src, src0 = (np.asarray(c) for c in batch.columns)
+            on = (row[1:] == row[:-1]) & (src[1:] == src[:-1]) & (s0[1:] - src0[1:] == s0[:-1] - src0[:-1]) & (s0[1:] <= s0[:-1] + nw[:-1] + length - 1)
+            on &= (rep[1:] == 1) & (rep[:-1] == 1)
+            first = np.flatnonzero(np.concatenate(([True], ~on)))
+            last = np.append(first[1:], len(row)) - 1
+            yield _columns(SPAN, [row[first], s0[first], s0[last] + nw[last] + length - 1 - s0[first], rep[first], nw[first], src[first], src0[first]])
 
-        press = zstandard.ZstdCompressor(level=3)
+    return marks.repartition("row").sortWithinPartitions("row", "s0").select(*(x.split()[0] for x in MARK.split(", "))).mapInArrow(merge, SPAN)
+
+
+def _cut(z: bytes, words: bool):
+    """A function from (start, size) to that part of a compressed text: bytes, or words joined by a space."""
+    import zstandard
+
+    text = zstandard.ZstdDecompressor().decompress(z)
+    if not words:
+        return lambda start, size: text[start : start + size]
+    split = text.split()
+    return lambda start, size: b" ".join(split[start : start + size])
+
+
+def claims_of(spans: DataFrame, texts: DataFrame, words: bool) -> DataFrame:
+    """CLAIM rows: each span with what its source has there. Spans with a src below 0 need no proof and get null.
+
+    The join is by source; a source of many spans is split at run time, as both sides are plain.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, part = None, None
         for batch in batches:
             for at in range(0, len(batch), 500):
-                part = batch.slice(at, 500)
-                z = [None if t is None else press.compress(t) for t in part.column("text").to_pylist()]
-                names = [n for n in part.schema.names if n != "text"]
-                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(z, pa.binary())], names=[*names, "z"])
+                columns = [c.to_pylist() for c in batch.slice(at, 500).columns]
+                body = []
+                for src, start, size, z in zip(columns[5], columns[6], columns[2], columns[7], strict=True):
+                    if src != known:
+                        known, part = src, _cut(z, words)
+                    body.append(part(start, size))
+                yield _columns(CLAIM, [*columns[:5], body])
+
+    names = [x.split()[0] for x in SPAN.split(", ")]
+    proved = spans.where("src >= 0").join(texts.select(F.col("row").alias("src"), "z"), "src").select(*names, "z").mapInArrow(tidy(cut), CLAIM)
+    return proved.unionByName(spans.where("src < 0").select(*names[:5], F.lit(None).cast("binary").alias("body")))
+
+
+def removed(docs: DataFrame, claims: DataFrame, words: bool) -> DataFrame:
+    """(doc_id, n, n_removed, n_spans, kept) of each numbered document: its symbols, those under claims, their maximal
+    runs, and what stays. A claim that isn't true, as two passages had equal 64-bit hashes, raises an error.
+    """
 
-    out = docs.select("doc_id", "d", "t", F.col("text").cast("binary").alias("text"))
-    return out.mapInArrow(tidy(squeeze), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, d long, t int, z binary")
+    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 200):
+                rows = []
+                for doc_id, z, own in zip(*(batch.column(n).slice(at, 200).to_pylist() for n in ("doc_id", "z", "claims")), strict=True):
+                    merged: list[list[int]] = []
+                    part = _cut(z, words) if any(c["body"] is not None for c in own or []) else None
+                    for c in sorted(own or [], key=lambda c: c["start"]):
+                        if c["body"] is not None and any(part(c["start"] + i * c["step"], c["size"]) != c["body"] for i in range(c["rep"])):
+                            raise ValueError("different passages have equal hashes; use another anchors.BASE")
+                        end = c["start"] + (c["rep"] - 1) * c["step"] + c["size"]
+                        if merged and c["start"] <= merged[-1][1]:
+                            merged[-1][1] = max(end, merged[-1][1])
+                        else:
+                            merged.append([c["start"], end])
+                    kept, n, gone = _without(z, merged, words)
+                    rows.append((doc_id, n, gone, len(merged), kept))
+                columns = list(zip(*rows, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.schema.field("doc_id").type), *(pa.array(c, pa.int64()) for c in columns[1:4]), pa.array(columns[4], pa.binary())], names=["doc_id", "n", "n_removed", "n_spans", "kept"])
+
+    by_row = claims.groupBy("row").agg(F.collect_list(F.struct("start", "size", "rep", "step", "body")).alias("claims"))
+    joined = docs.join(by_row, "row", "left").select("doc_id", "z", "claims")
+    return joined.mapInArrow(tidy(remove), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, n_removed long, n_spans long, kept binary")
+
+
+def _without(z: bytes | None, spans: list[list[int]], words: bool) -> tuple[bytes, int, int]:
+    """What is left of a text without these disjoint spans, its symbols, and how many went."""
+    import zstandard
+
+    text = b"" if z is None else zstandard.ZstdDecompressor().decompress(z)
+    symbols = text.split() if words else text
+    edges = [0, *(x for span in spans for x in span), len(symbols)]
+    parts = [symbols[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)]
+    gone = len(symbols) - sum(map(len, parts))
+    return (b" ".join(w for p in parts for w in p) if words else b"".join(parts)), len(symbols), gone

@@ -14,8 +14,8 @@ SPACES = " \t\n\u000b\f\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Keys followed by the frequent-item sketch, and how many of them may be called hot.
-TRACKED_KEYS, MOST_HOT_KEYS = 20_000, 4_000
+#: Keys followed by the frequent-item sketch, how many of them may be called hot, and the rows from which on any is.
+TRACKED_KEYS, MOST_HOT_KEYS, MOST_COLD_ROWS = 20_000, 4_000, 20_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,7 +33,34 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write a table into the shared folder and read it back; this cuts lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/tables/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def bucketed(df: DataFrame, keys: list[str], label: str, buckets: int | None = None) -> DataFrame:
+    """materialize(), hash-partitioned and sorted by keys: joins and aggregations by them don't move this side again.
+
+    A table by the same keys and number of buckets (by default the session's number of shuffle partitions) lies alike.
+    """
+    spark = df.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"{label}_{uuid.uuid4().hex}".replace("-", "_")
+    path = f"{shared_dir(spark)}/tables/{name}"
+    df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys).format("parquet").option("path", path).saveAsTable(name)
+    out = spark.table(name)
+    out.written_to, out.table_name = path, name
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        if hasattr(df, "table_name"):
+            spark.sql(f"DROP TABLE IF EXISTS {df.table_name}")
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def words_of(text: Column) -> Column:
@@ -48,13 +75,13 @@ def ascii_lower(text: Column) -> Column:
 
 
 def hot_keys(df: DataFrame, key: str) -> DataFrame:
-    """Keys that hold more than 1/2000 of the rows, and 200 rows, by a fixed-size frequent-item sketch.
+    """Keys that hold more than 1/2000 of the rows (and 200 rows), or MOST_COLD_ROWS, by a fixed-size frequent-item sketch.
 
     The result has at most MOST_HOT_KEYS rows, whatever the input, so it may be broadcast. It only routes rows
     between two exact ways of doing the same work: a key that the sketch misses is done the other way.
     """
     row = df.agg(F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k({key}, {MOST_HOT_KEYS}, {TRACKED_KEYS})").alias("top")).first()
-    least = max(200, (row["n"] or 0) // 2000)
+    least = min(MOST_COLD_ROWS, max(200, (row["n"] or 0) // 2000))
     found = [(x["item"],) for x in row["top"] or [] if x["count"] >= least and x["item"] is not None]
     return df.sparkSession.createDataFrame(found, f"{key} {df.schema[key].dataType.simpleString()}")
 

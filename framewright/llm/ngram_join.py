@@ -4,22 +4,25 @@ Every document is the set of its five-word shingles; equal sets form one class.
 its bucket is named by a sampled minhash token (a token shared with the similarity's probability). Buckets of few
 classes are compared by brute force on their signatures; larger ones are split again by two further sampled tokens
 each, unless most of a bucket shares them, when splitting can't help. Runs are repeated until a pair at the threshold
-is missed with a probability below 1 - RECALL. What the buckets link are candidate groups: they are verified on the
-exact sets, all pairs of a group at once, and groups beyond BLOCK classes in pairs of blocks.
+is missed with a probability below 1 - RECALL, all levels of splitting counted. What the buckets link are candidate
+groups: they are verified on the exact sets, all pairs of a group at once. A group beyond BLOCK classes is cut into
+blocks, each written once; what is dealt out are pairs of block files, so no set is copied for the pairs it is in.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .anchors import Sums, WordHashes, keyed, mix, packed_texts
-from .common import materialize, split_hot, tidy
+from .anchors import Sums, WordHashes, mix, numbered
+from .common import discard, materialize, shared_dir, split_hot, tidy
 from .components import components
 
 SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.99999999
@@ -34,8 +37,9 @@ LAST = (1 << 63) - 1
 
 
 def runs_for(recall: float, similarity: float) -> int:
-    """Runs after which a pair at the threshold has shared a bucket with probability `recall`, a split on the way."""
-    met = similarity * (1 - (1 - similarity) ** BRANCHES)
+    """Runs after which a pair at the threshold has shared a bucket with probability `recall`, if its buckets are split
+    on every level: it shares the first token, and on each level at least one of the branches."""
+    met = similarity * (1 - (1 - similarity) ** BRANCHES) ** LEVELS
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - met)))
 
 
@@ -57,24 +61,25 @@ def signature(s: np.ndarray, by: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, d, t, f, g, size, sig) of keyed documents: a 128-bit print of the set, its size, its signature."""
+    """(row, d, f, g, size, sig) of numbered documents: a 128-bit print of the set, its size, its signature."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, by = WordHashes(), coefficients()
+        import zstandard
+
+        loose, hashes, by = zstandard.ZstdDecompressor(), WordHashes(), coefficients()
         for batch in batches:
             for at in range(0, len(batch), 500):
                 part = batch.slice(at, 500)
                 f, g, size, sig = [], [], [], []
-                for text in part.column("text").to_pylist():
-                    s = shingles(hashes.symbols((text or b"").split()), n)
+                for z in part.column("z").to_pylist():
+                    s = shingles(hashes.symbols([] if z is None else loose.decompress(z).split()), n)
                     f.append(int(mix(s).sum(dtype=np.uint64).astype(np.int64)))
                     g.append(int(mix(s ^ np.uint64(0xE7037ED1A0B428DB)).sum(dtype=np.uint64).astype(np.int64)))
                     size.append(len(s))
                     sig.append(signature(s, by).tobytes() if len(s) else None)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "d", "t")), pa.array(f, pa.int64()), pa.array(g, pa.int64()), pa.array(size, pa.int32()), pa.array(sig, pa.binary())], names=["doc_id", "d", "t", "f", "g", "size", "sig"])
+                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("d"), pa.array(f, pa.int64()), pa.array(g, pa.int64()), pa.array(size, pa.int32()), pa.array(sig, pa.binary())], names=["row", "d", "f", "g", "size", "sig"])
 
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, d long, t int, f long, g long, size int, sig binary"
-    return docs.select("doc_id", "d", "t", F.col("text").cast("binary").alias("text")).mapInArrow(tidy(sketch), schema)
+    return docs.select("row", "d", "z").mapInArrow(tidy(sketch), "row long, d long, f long, g long, size int, sig binary")
 
 
 def first_paths(classes: DataFrame, runs: int) -> DataFrame:
@@ -130,21 +135,15 @@ def leaf_buckets(classes: DataFrame, runs: int) -> DataFrame:
         share = children.groupBy("parent", "branch", "path").count().groupBy("parent", "branch").agg((F.max("count") / F.sum("count")).alias("x"))
         dense = materialize(share.groupBy("parent").agg(F.max("x").alias("x")).where(F.col("x") >= DENSE).select(F.col("parent").alias("path")), "dense")
         leaves.append(big.join(dense, "path", "left_semi"))
+        discard(rows)
         rows = materialize(children.join(dense.select(F.col("path").alias("parent")), "parent", "left_anti").select("path", "id", "s8"), "paths")
+        discard(children)
     out = leaves[0]
     for more in leaves[1:]:
         out = out.unionByName(more)
     return out
 
 
-def in_blocks(rows: DataFrame, n: str) -> DataFrame:
-    """Rows with (x, y, block): a group of n beyond BLOCK is cut into blocks, and every pair of blocks is a task's work."""
-    blocks = F.greatest(F.lit(1), F.ceil(F.col(n) / BLOCK)).cast("int")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    return rows.withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other")).drop("other")
-
-
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
     """Runs of rows with equal leading columns, across batches."""
     held: list[tuple] = []
@@ -158,18 +157,6 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple
         yield held
 
 
-def _edges(found: Iterator[tuple[list, list]]) -> Iterator[pa.RecordBatch]:
-    u, v = [], []
-    for a, b in found:
-        u += a
-        v += b
-        if len(u) > 20_000:
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
-            u, v = [], []
-    if u:
-        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
-
-
 def alike(ids: np.ndarray, s8: np.ndarray) -> tuple[list, list]:
     """Edges that span the groups of a bucket whose signatures agree in LEAST_AGREEMENT of the coordinates, by search
     from one member to the next; what is reached is compared no more, so a dense bucket takes a few rounds."""
@@ -185,81 +172,142 @@ def alike(ids: np.ndarray, s8: np.ndarray) -> tuple[list, list]:
     return u, v
 
 
-def candidate_edges(leaves: DataFrame) -> DataFrame:
-    """(u, v) of classes whose signatures agree, from the leaf buckets; a spanning forest of each bucket."""
+Rows = list[tuple]
+
+
+def _file_system(path: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if path.startswith("file:") or "://" in path else (fs.LocalFileSystem(), path)
+
+
+def all_pairs(rows: DataFrame, group: str, payload: list[str], core: Callable[[Rows, int | None], pa.RecordBatch], schema: str) -> DataFrame:
+    """core(rows, split) for the pairs of rows (id, payload) of each group; n tells a group's size.
+
+    A group of at most BLOCK rows is handed over at once, with None. A larger one is cut into blocks by a hash of id.
+    Each block is written to a file of its own in the shared folder by the task that has gathered it; its name holds
+    the attempt, so a repeated task leaves only a file that nothing names. Every pair of blocks is then a row of its own, of two
+    names, and core gets the rows of the first block, those of the second, and where the second begins (0: one block).
+    """
+    columns = ["id", *payload]
+    small = rows.where(F.col("n") <= BLOCK).select(group, *columns)
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    large = rows.where(F.col("n") > BLOCK).select(group, F.pmod(F.xxhash64("id"), blocks).alias("block"), *columns)
+    folder = f"{shared_dir(rows.sparkSession)}/blocks/{uuid.uuid4().hex}"
+    kinds = pa.schema([(c, {"bigint": pa.int64(), "binary": pa.binary()}[rows.schema[c].dataType.simpleString()]) for c in columns])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own in _groups(batches, 1):
+            yield core([r[1:] for r in own], None)
+
+    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, path = _file_system(folder)
+        for own in _groups(batches, 2):
+            files.create_dir(path, recursive=True)
+            name = f"{own[0][0] & 0xFFFFFFFFFFFFFFFF:016x}-{own[0][1]:06d}-{TaskContext.get().taskAttemptId()}.arrow"
+            with files.open_output_stream(f"{path}/{name}", compression=None) as out, pa.ipc.new_stream(out, kinds) as writer:
+                writer.write_batch(pa.record_batch([pa.array(c, k.type) for c, k in zip(list(zip(*own, strict=True))[2:], kinds, strict=True)], schema=kinds))
+            yield pa.RecordBatch.from_arrays([pa.array([own[0][0]]), pa.array([own[0][1]], pa.int64()), pa.array([name])], names=["of", "block", "file"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found() -> Iterator[tuple[list, list]]:
-            for rows in _groups(batches, 3):
-                yield alike(np.array([r[3] for r in rows]), np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(-1, COORDINATES))
+        files, path = _file_system(folder)
+
+        def load(name: str) -> Rows:
+            with files.open_input_stream(f"{path}/{name}", compression=None) as source, pa.ipc.open_stream(source) as reader:
+                return list(zip(*(c.to_pylist() for c in reader.read_all().columns), strict=True))
+
+        for batch in batches:
+            for x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                first = load(x)
+                yield core(first, 0) if x == y else core(first + load(y), len(first))
+
+    done = small.repartition(group).sortWithinPartitions(group).mapInArrow(tidy(whole), schema)
+    files = materialize(large.repartition(group, "block").sortWithinPartitions(group, "block").mapInArrow(tidy(store), "of long, block long, file string"), "block-files")
+    if not files.head(1):
+        return done
+    other = files.select("of", F.col("block").alias("block2"), F.col("file").alias("file2"))
+    pairs = materialize(files.join(other, "of").where("block <= block2").select("file", "file2"), "block-pairs")
+    tasks = max(1, min(pairs.count(), 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return done.unionByName(pairs.repartition(tasks, "file", "file2").mapInArrow(tidy(compare), schema))
+
+
+def candidate_edges(leaves: DataFrame) -> DataFrame:
+    """(u, v) of classes whose signatures agree, from the leaf buckets; a spanning forest of each bucket."""
 
-        yield from _edges(found())
+    def core(rows: Rows, split: int | None) -> pa.RecordBatch:
+        u, v = alike(np.array([r[0] for r in rows]), np.frombuffer(b"".join(r[1] for r in rows), np.uint8).reshape(-1, COORDINATES))
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
-    keys = ["path", "x", "y"]
-    rows = in_blocks(leaves, "n").select(*keys, "id", "s8")
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(tidy(compare), "u long, v long")
+    return all_pairs(leaves, "path", ["s8"], core, "u long, v long")
 
 
-def intersections(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of all pairs of sets: rare members pair by pair, frequent ones by matrix products."""
+def intersections(sets: list[np.ndarray], split: int = 0) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets, or of the first `split` ones with the others: rare members pair
+    by pair, frequent ones by matrix products."""
     m = len(sets)
+    ours, theirs = (slice(0, split), slice(split, m)) if split else (slice(0, m), slice(0, m))
+    low = split or 0
+    wide = m - low
     owner = np.repeat(np.arange(m), [len(s) for s in sets])
     order = np.argsort(values := np.concatenate(sets), kind="stable")
     values, owner = values[order], owner[order]
     first = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
     count = np.diff(np.append(first, len(values)))
-    out = np.zeros(m * m, np.float32)
+    out = np.zeros((split or m) * wide, np.float32)
     for k in range(2, min(17, m + 1)):
-        rows = owner[first[count == k][:, None] + np.arange(k)]
+        rows = owner[first[count == k][:, None] + np.arange(k)]  # in a row, owners ascend
         for i in range(k if len(rows) else 0):
             for j in range(i + 1, k):
-                pair, times = np.unique(rows[:, i] * m + rows[:, j], return_counts=True)
+                a, b = rows[:, i], rows[:, j]
+                if split:
+                    across = (a < split) & (b >= split)
+                    a, b = a[across], b[across]
+                pair, times = np.unique(a * wide + (b - low), return_counts=True)
                 out[pair] += times
-    out = out.reshape(m, m)
-    out = out + out.T
+    out = out.reshape(-1, wide)
+    if not split:
+        out = out + out.T
     often = np.flatnonzero(count > 16)
     width = max(64, min(4096, (32 << 20) // (4 * m)))
     for at in range(0, len(often), width):
         own = often[at : at + width]
         x = np.zeros((m, len(own)), np.float32)
         x[owner[np.concatenate([np.arange(f, f + c) for f, c in zip(first[own], count[own], strict=True)])], np.repeat(np.arange(len(own)), count[own])] = 1
-        out += x @ x.T
+        out += x[ours] @ x[theirs].T
     return out
 
 
 LINK = "id long, root long, links long"
 
 
-def verified(groups: DataFrame, n: int, similarity: float) -> DataFrame:
-    """LINK rows from (component, x, y, id, block, weight, words' text z) rows: exact links of each class in the task's pairs."""
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _groups(batches, 3):
-            x, y = rows[0][1:3]
-            ids, block, weight = np.array([r[3] for r in rows]), np.array([r[4] for r in rows]), np.array([r[5] for r in rows], np.float64)
-            sets = [np.frombuffer(r[6], np.uint64) for r in rows]
-            size = np.array([len(s) for s in sets], np.float64)
-            linked = np.zeros((len(rows), len(rows)), bool)
-            both = intersections(sets)
-            for i in range(len(rows)):  # row by row, so no second matrix of numbers is needed
-                linked[i] = both[i].astype(np.float64) * (1 + similarity) >= similarity * (size[i] + size) - 1e-6
-            np.fill_diagonal(linked, False)
-            if x != y:
-                linked &= block[:, None] != block[None, :]
-            links = linked @ weight
-            root = ids.copy()
-            left = np.ones(len(rows), bool)
-            for i in range(len(rows)):
-                if left[i]:
-                    left[i], front = False, [i]
-                    while front:
-                        new = np.flatnonzero(linked[front.pop()] & left)
-                        left[new], root[new] = False, ids[i]
-                        front += new.tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(root), pa.array(links.astype(np.int64))], names=["id", "root", "links"])
-
-    keys = ["component", "x", "y"]
-    return groups.select(*keys, "id", "block", "weight", "members").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(tidy(verify), LINK)
+def verified(groups: DataFrame, similarity: float) -> DataFrame:
+    """LINK rows from (component, n, id, weight, members) rows: exact links of each class among the pairs of a task."""
+
+    def core(rows: Rows, split: int | None) -> pa.RecordBatch:
+        ids, weight = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float64)
+        sets = [np.frombuffer(r[2], np.uint64) for r in rows]
+        size = np.array([len(s) for s in sets], np.float64)
+        linked = np.zeros((len(rows), len(rows)), bool)
+        both = intersections(sets, split or 0)
+        for i in range(len(both)):  # row by row, so no second matrix of numbers is needed
+            theirs = size[split or 0 :]
+            linked[i, split or 0 :] = both[i].astype(np.float64) * (1 + similarity) >= similarity * (size[i] + theirs) - 1e-6
+        if split:
+            linked |= linked.T
+        np.fill_diagonal(linked, False)
+        links = linked @ weight
+        root = ids.copy()
+        left = np.ones(len(rows), bool)
+        for i in range(len(rows)):
+            if left[i]:
+                left[i], front = False, [i]
+                while front:
+                    new = np.flatnonzero(linked[front.pop()] & left)
+                    left[new], root[new] = False, ids[i]
+                    front += new.tolist()
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(root), pa.array(links.astype(np.int64))], names=["id", "root", "links"])
+
+    return all_pairs(groups, "component", ["weight", "members"], core, LINK)
 
 
 def member_sets(rows: DataFrame, n: int) -> DataFrame:
@@ -280,52 +328,54 @@ def member_sets(rows: DataFrame, n: int) -> DataFrame:
     return rows.mapInArrow(tidy(unpack), schema)
 
 
-def similar_documents(docs: DataFrame, n: int = SHINGLE, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
-    """(doc_id, d, t, class_id, copy_id, n_links, first) of each row of docs; see keyed() for d and t.
+def similar_documents(docs: DataFrame, n: int = SHINGLE, similarity: float = SIMILARITY, recall: float = RECALL, **more: Column) -> DataFrame:
+    """(doc_id, more, class_id, copy_id, n_links, first) of each row of docs; more: further longs of a row.
 
     Documents are linked if the Jaccard similarity of their n-word shingle sets is at least `similarity`; words are
     runs of non-space characters, unchanged. class_id is the smallest doc_id of the documents connected by links,
     copy_id the smallest with an equal set, n_links the number of other rows linked to this one, copies included. first
-    marks the row of a class that stands for it (its repeats as well).
+    marks the one row of a class that stands for it.
 
     A text of fewer words than n is one shingle. Null texts and texts without words have empty sets: they link to
-    nothing and are classes of their own. A null doc_id counts as the largest and comes back as null. Repeated rows are
-    copies of each other. An empty table gives an empty table; further columns are not read.
+    nothing and are classes of their own. A null doc_id counts as the largest and comes back as null. Rows are known by
+    a number of their own, so rows of equal or null doc_id are told apart; repeated rows are copies of each other. An
+    empty table gives an empty table; further columns are not read.
     """
-    rows = keyed(docs, LAST)
-    sketched = materialize(sketches(rows, n), "sketches")
+    texts = numbered(docs, LAST, **more)
+    sketched = materialize(sketches(texts, n), "sketches")
     spoken = sketched.where("size > 0")
-    classes = spoken.groupBy("f", "g").agg(F.min(F.struct("d", "t")).alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("size").alias("size"), F.first("sig").alias("sig"))
-    classes = materialize(classes.select(F.monotonically_increasing_id().alias("id"), "f", "g", "rep.d", "rep.t", "weight", "size", "sig"), "classes")
+    classes = spoken.groupBy("f", "g").agg(F.min(F.struct("d", "row")).alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("sig").alias("sig"))
+    classes = materialize(classes.select(F.monotonically_increasing_id().alias("id"), "f", "g", "rep.d", "rep.row", "weight", "sig"), "classes")
     pairs = components(candidate_edges(leaf_buckets(classes, runs_for(recall, similarity))))
     pairs = materialize(pairs, "candidates")
     groups = pairs.join(materialize(pairs.groupBy("component").agg(F.count(F.lit(1)).alias("n")), "group-sizes"), "component")
-    members = classes.select("id", "d", "t", "weight").join(groups, "id")
-    texts = packed_texts(rows).drop("doc_id")  # repeated rows give a member several times
-    sets = member_sets(materialize(texts.join(members, ["d", "t"]).dropDuplicates(["id"]).select("component", "id", "n", "weight", "z"), "members"), n)
-    links = materialize(verified(in_blocks(sets, "n"), n, similarity), "links")
+    members = classes.select("id", "row", "weight").join(groups, "id")
+    sets = member_sets(texts.select("row", "z").join(members, "row").select("component", "id", "n", "weight", "z"), n)
+    links = materialize(verified(sets, similarity), "links")
     joined = materialize(components(links.where("id != root").select(F.col("id").alias("u"), F.col("root").alias("v"))), "linked")
     per_class = links.groupBy("id").agg(F.sum("links").alias("links"))
-    known = classes.select("id", "f", "g", "d", "t", "weight").join(joined, "id", "left").join(per_class, "id", "left")
+    known = classes.select("id", "f", "g", "d", "row", "weight").join(joined, "id", "left").join(per_class, "id", "left")
     known = known.withColumn("component", F.coalesce("component", "id"))
-    least = known.groupBy("component").agg(F.min(F.struct("d", "t")).alias("least"))
+    least = known.groupBy("component").agg(F.min(F.struct("d", "row")).alias("least"))
     table = known.join(least, "component").select("f", "g", F.col("d").alias("copy"), "least", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    out = sketched.select("doc_id", "d", "t", (F.col("size") > 0).alias("spoken"), "f", "g")
+    out = sketched.select("row", "d", (F.col("size") > 0).alias("spoken"), "f", "g")
     out = out.join(materialize(table, "class-table").withColumn("spoken", F.lit(True)), ["spoken", "f", "g"], "left")
     known_id = lambda c: F.nullif(F.coalesce(c, "d"), F.lit(LAST))
-    return out.select(
-        "doc_id", "d", "t", known_id("least.d").alias("class_id"), known_id("copy").alias("copy_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce(F.struct("d", "t") == F.col("least"), F.lit(True)).alias("first"),
+    out = out.select(
+        "row", known_id("least.d").alias("class_id"), known_id("copy").alias("copy_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        F.coalesce(F.col("row") == F.col("least.row"), F.lit(True)).alias("first"),
     )
+    return texts.select("row", "doc_id", *more).join(out, "row").drop("row")
 
 
 def one_of_each(docs: DataFrame, n: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """docs with one row of each class of similar_documents(), that of the smallest doc_id; all columns stay.
 
-    Rows without words stay, those of equal doc_id and text once.
+    Rows without words stay, those of equal doc_id and text once. A row is found again by its doc_id and 128 bits of
+    hash of its text.
     """
-    key = {"_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "_t": F.hash("text")}
-    stay = similar_documents(docs, n, similarity).where("first").select(F.col("d").alias("_d"), F.col("t").alias("_t"))
-    kept = docs.select(F.struct("*").alias("doc"), *(k.alias(c) for c, k in key.items())).join(stay, ["_d", "_t"], "left_semi")
-    return kept.dropDuplicates(["_d", "_t"]).select("doc.*")
+    text = F.coalesce("text", F.lit(""))
+    key = {"_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "_t": F.xxhash64("text"), "_u": F.xxhash64(F.lit(1), F.reverse(text))}
+    stay = similar_documents(docs, n, similarity, **key).where("first").select(*key).distinct()
+    kept = docs.select(F.struct("*").alias("doc"), *(k.alias(c) for c, k in key.items())).join(stay, [*key], "left_semi")
+    return kept.dropDuplicates([*key]).select("doc.*")

@@ -1,127 +1,158 @@
 """Incremental substring deduplication over words with a log-structured fingerprint index.
 
-The index is a list of immutable runs in the shared folder, each sorted by fingerprint: the blocks of windows
-(anchors.py) that a batch of documents brought, each with its first document. A new batch is merge-joined with the
-runs: its rows and theirs are sorted by fingerprint together. That decides whole blocks; windows of blocks that only
-share an anchor are verified by their own hashes, from the texts. The batch becomes a run, and when there are more than
-MOST_RUNS, they are merged into one that holds each fingerprint's first document.
+Every window of 50 words is known by the block it lies in (anchors.py): a fingerprint of an anchor and of all words
+around it. The index is a list of immutable runs in the shared folder, all bucketed and sorted alike by fingerprint, so
+a new batch of documents is merge-joined with them and history is never shuffled again:
+
+- blocks: each fingerprint's first place. A block of the batch that history or a smaller document has goes as a whole.
+- anchors: how many blocks an anchor has. Blocks that share an anchor and differ are compared window by window.
+- windows: the hashes of such windows, with their first places. A block that was alone at its anchor until now is
+  hashed when the first different one comes, from the text that the index keeps.
+
+What hashes say is merged into spans, and each span's words are compared with those of its first place before anything
+is removed. A batch then becomes a run of each kind; when there are MOST_RUNS, they are compacted into one before the
+next batch is joined, and the old ones are deleted.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .anchors import BLOCK, Sums, WordHashes, block_rows, by_document, keyed, packed_texts, shared_blocks
-from .common import materialize, shared_dir, split_hot, tidy
+from .anchors import Sums, WordHashes, _columns, block_rows, claims_of, numbered, removed, spans_of
+from .common import bucketed, discard, materialize, tidy
 
 LENGTH, GRAM = 50, 10
 BATCHES, MOST_RUNS = 3, 2
 #: What a null doc_id counts as: no document is larger, and equal ones don't touch each other.
 LAST = (1 << 63) - 1
+#: The kinds of runs, and the keys by which each is bucketed and sorted.
+KINDS = {"blocks": ["b", "a"], "anchors": ["a"], "windows": ["h", "a"]}
+WINDOW = "h long, a long, d long, row long, s int"
 
 
 class FingerprintIndex:
-    """Runs of BLOCK rows, sorted by a and b."""
+    """The runs of each kind, and the texts of all batches."""
 
-    def __init__(self, spark: SparkSession, folder: str | None = None, runs: list[str] | None = None, length: int = LENGTH, gram: int = GRAM, most_runs: int = MOST_RUNS):
+    def __init__(self, spark: SparkSession, length: int = LENGTH, gram: int = GRAM, most_runs: int = MOST_RUNS):
         self.spark, self.length, self.gram, self.most_runs = spark, length, gram, most_runs
-        self.folder = folder or f"{shared_dir(spark)}/fingerprints/{uuid.uuid4().hex}"
-        self.runs = list(runs or [])
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.runs: dict[str, list[DataFrame]] = {kind: [] for kind in KINDS}
+        self.texts: list[DataFrame] = []
+        self.next_row = 0
+
+    def _merged(self, df: DataFrame, kind: str, column: str) -> DataFrame:
+        """df with `old`: the column's values in the runs that have its key, in an array."""
+        names = df.columns
+        for i, run in enumerate(self.runs[kind]):
+            df = df.join(run.select(*KINDS[kind], F.col(column).alias(f"old{i}")), KINDS[kind], "left")
+        found = F.array_compact(F.array(*(F.col(f"old{i}") for i in range(len(self.runs[kind]))))) if self.runs[kind] else None
+        return df.select(*names, F.lit(None).alias("old") if found is None else found.alias("old"))
+
+    def _first(self, df: DataFrame, kind: str) -> DataFrame:
+        """df with src: the place of history, or else the batch's first place if a larger document has the key as well."""
+        if not self.runs[kind]:
+            return df.withColumns({"known": F.lit(False), "src": F.when(F.col("first.d") < F.col("last_d"), F.col("first"))})
+        df = self._merged(df, kind, "first")
+        old = F.get("old", F.lit(0))
+        return df.withColumns({"known": old.isNotNull(), "src": F.coalesce(old, F.when(F.col("first.d") < F.col("last_d"), F.col("first")))}).drop("old")
+
+    def _history(self) -> DataFrame:
+        out = self.texts[0]
+        for more in self.texts[1:]:
+            out = out.unionByName(more)
+        return out
 
-    def _write_run(self, rows: DataFrame) -> str:
-        path = f"{self.folder}/run-{uuid.uuid4().hex}"
-        rows.select("d", "t", "a", "b", "s0", "nw", "off", "rep").repartitionByRange("a", "b").sortWithinPartitions("a", "b", "d").write.parquet(path)
-        return path
-
-    def history(self) -> DataFrame | None:
-        return self.spark.read.schema(BLOCK).parquet(*self.runs) if self.runs else None
+    def compact(self) -> None:
+        """Merge the runs of each kind into one and delete them. A fingerprint is in one run, that of its first place."""
+        for kind, keys in KINDS.items():
+            both = self.runs[kind][0]
+            for more in self.runs[kind][1:]:
+                both = both.unionByName(more)
+            if kind == "anchors":
+                both = both.groupBy("a").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+            merged = bucketed(both, keys, f"compacted-{kind}", self.buckets)
+            discard(*self.runs[kind])
+            self.runs[kind] = [merged]
 
     def ingest(self, docs: DataFrame) -> DataFrame:
-        """Marks of this batch against itself and the runs; the batch then is a run. docs: see keyed().
+        """(doc_id, n, n_removed, n_spans, kept) of a batch of documents, which then belongs to the index.
 
-        Batches should come in order of d: a window counts as repeated if a smaller d has it in this batch or before.
+        Batches come in order of doc_id: a window counts as repeated if a smaller one has it in this batch or before.
         """
-        new = materialize(block_rows(docs, self.length, self.gram, words=True), "batch")
-        history = self.history()
-        both = new if history is None else new.unionByName(history)
-        marks = materialize(shared_blocks(both, True, lambda df: materialize(df, "hot-blocks")), "marks")
-        self.runs.append(self._write_run(new))
-        if len(self.runs) > self.most_runs:
+        if len(self.runs["blocks"]) >= self.most_runs:
             self.compact()
-        return marks
-
-    def compact(self) -> None:
-        """Merge all runs into one, with each fingerprint's first document."""
-        first = self.history().groupBy("a", "b").agg(F.min(F.struct("d", "t", "s0", "nw", "off", "rep")).alias("x"))
-        self.runs = [self._write_run(first.select("a", "b", "x.*"))]
-
-
-def window_hashes(docs: DataFrame, marks: DataFrame, length: int) -> DataFrame:
-    """(a, h, d, t, s): the hash of every window of the blocks to expand, with its anchor."""
+        texts = numbered(docs, LAST, self.next_row)
+        self.next_row = (texts.agg(F.max("row")).first()[0] or self.next_row) + 1
+        self.texts.append(texts)
+        rows = materialize(block_rows(texts, self.length, self.gram, words=True), "block-rows")
+        # One row for each block, summed up before it moves, so no repeated passage meets in one task.
+        blocks = rows.groupBy("b", "a").agg(F.min(F.struct("d", "row", "s0", "nw")).alias("first"), F.max("d").alias("last_d"))
+        blocks = materialize(self._first(blocks, "blocks"), "blocks")
+        new = blocks.where("NOT known")
+        anchors = materialize(new.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("first")), "anchors")
+        mixed, alone = self._mixed(anchors)
+        flagged = blocks.select("b", "a", "src", "known").join(mixed.select("a", F.lit(True).alias("mixed")), "a", "left")
+        flagged = materialize(flagged.select("b", "a", "src", (~F.col("known") & F.col("mixed").isNotNull()).alias("mixed")).where("src IS NOT NULL OR mixed"), "flagged")
+        marks = rows.join(flagged, ["b", "a"])
+        covered = F.coalesce(F.col("d") > F.col("src.d"), F.lit(False))
+        marks = materialize(marks.select("row", "d", "a", "s0", "nw", "rep", "src", covered.alias("covered")).where("covered OR mixed"), "marks")
+        found = marks.where("covered").select("row", "s0", "nw", "rep", F.col("src.row").alias("src"), F.col("src.s0").alias("src0"))
+        found = found.unionByName(self._windows(texts, marks.where("NOT covered"), alone))
+        spans = materialize(spans_of(found, self.length), "spans")
+        claims = materialize(claims_of(spans, self._history(), words=True), "claims")
+        self.runs["blocks"].append(bucketed(new.select("b", "a", "first"), KINDS["blocks"], "blocks", self.buckets))
+        self.runs["anchors"].append(bucketed(anchors, KINDS["anchors"], "anchors", self.buckets))
+        discard(rows, blocks, anchors, mixed, flagged, marks, spans)
+        return removed(texts, claims, words=True)
+
+    def _mixed(self, anchors: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+        """Anchors of new blocks that have another block here or in history; and the blocks of history that were alone."""
+        if not self.runs["anchors"]:
+            return materialize(anchors.where("n > 1").select("a"), "mixed"), None
+        known = self._merged(anchors, "anchors", "n").withColumnRenamed("old", "ns")
+        known = self._merged(known, "anchors", "first").select("a", "n", F.aggregate("ns", F.lit(0).cast("long"), lambda a, x: a + x).alias("old_n"), F.get("old", F.lit(0)).alias("lone"))
+        mixed = materialize(known.where("n + old_n > 1"), "mixed")
+        return mixed, mixed.where("old_n = 1").select("a", "lone.*")
+
+    def _windows(self, texts: DataFrame, marks: DataFrame, alone: DataFrame | None) -> DataFrame:
+        """Marks of the repeated windows of blocks that share an anchor with a different one; their hashes become a run."""
+        spread = marks.select("row", "d", "a", "s0", (F.col("nw") * F.col("rep")).alias("nw"))
+        own = materialize(window_hashes(texts, spread, self.length), "windows")
+        late = None if alone is None else materialize(window_hashes(self._history(), alone.select("row", "d", "a", "s0", "nw"), self.length), "late-windows")
+        every = own if late is None else own.unionByName(late)
+        firsts = every.groupBy("h", "a").agg(F.min(F.struct("d", "row", "s")).alias("first"), F.max("d").alias("last_d"))
+        firsts = materialize(self._first(firsts, "windows"), "first-windows")
+        found = own.join(firsts.where("src IS NOT NULL").select("h", "a", "src"), ["h", "a"]).where("d > src.d")
+        found = found.select("row", F.col("s").alias("s0"), F.lit(1).alias("nw"), F.lit(1).alias("rep"), F.col("src.row").alias("src"), F.col("src.s").alias("src0"))
+        found = materialize(found, "window-marks")
+        self.runs["windows"].append(bucketed(firsts.where("NOT known").select("h", "a", "first"), KINDS["windows"], "windows", self.buckets))
+        discard(own, firsts, *([] if late is None else [late]))
+        return found
+
+
+def window_hashes(texts: DataFrame, marks: DataFrame, length: int) -> DataFrame:
+    """WINDOW rows: the hash of every window of the marked blocks (row, d, a, s0, nw), with its anchor."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         loose, hashes = zstandard.ZstdDecompressor(), WordHashes()
         for batch in batches:
-            for i in range(len(batch)):
-                d, t, z, own = (batch.column(n)[i].as_py() for n in ("d", "t", "z", "marks"))
+            for row, d, z, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 sums = Sums(hashes.symbols(loose.decompress(z).split()))
                 s0, nw = (np.array([m[k] for m in own], np.int64) for k in ("s0", "nw"))
                 a = np.repeat(np.array([m["a"] for m in own], np.int64), nw)
                 s = np.repeat(s0 - np.concatenate(([0], np.cumsum(nw)[:-1])), nw) + np.arange(nw.sum())
                 h = sums.spans(s, np.full(len(s), length)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(h), pa.array(np.full(len(s), d)), pa.array(np.full(len(s), t), pa.int32()), pa.array(s, pa.int32())], names=["a", "h", "d", "t", "s"])
-
-    lists = by_document(marks.where("expand").select("d", "t", "a", "s0", (F.col("nw") * F.col("rep")).alias("nw")).distinct(), "a", "s0", "nw")
-    return packed_texts(docs).join(lists, ["d", "t"]).select("d", "t", "z", "marks").mapInArrow(tidy(find), "a long, h long, d long, t int, s int")
+                yield _columns(WINDOW, [h, a, np.full(len(s), d), np.full(len(s), row), s])
 
-
-def later_windows(windows: DataFrame) -> DataFrame:
-    """The windows of which a smaller d has one as well. Hot hashes are aggregated map-side, the others meet in a task."""
-    hot, cold = split_hot(windows, "h")
-    least = hot.groupBy("a", "h").agg(F.min("d").alias("first"))
-    late = hot.join(F.broadcast(least), ["a", "h"])
-    cold = cold.withColumn("first", F.min("d").over(Window.partitionBy("a", "h")))
-    return late.unionByName(cold, allowMissingColumns=True).where("d > first").select("d", "t", "s")
-
-
-def remove_words(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept) of every keyed document, from (d, t, from, to) rows that may overlap."""
-
-    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        loose = zstandard.ZstdDecompressor()
-        for batch in batches:
-            for at in range(0, len(batch), 200):
-                rows = []
-                for doc_id, z, own in zip(*(batch.column(n).slice(at, 200).to_pylist() for n in ("doc_id", "z", "marks")), strict=True):
-                    words = [] if z is None else loose.decompress(z).split()
-                    kept, done = [], 0
-                    for a, b in sorted((m["from"], m["to"]) for m in own or []):
-                        kept += words[done:a]
-                        done = max(done, b)
-                    kept += words[done:]
-                    rows.append((doc_id, len(words), len(words) - len(kept), b" ".join(kept)))
-                columns = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns[:3]] + [pa.array(columns[3], pa.binary())], names=["doc_id", "n_words", "n_removed", "kept"])
-
-    joined = packed_texts(docs).join(by_document(spans, "from", "to"), ["d", "t"], "left").select("doc_id", "z", "marks")
-    return joined.mapInArrow(tidy(remove), "doc_id long, n_words long, n_removed long, kept binary")
-
-
-def resolve(docs: DataFrame, marks: DataFrame, length: int = LENGTH) -> DataFrame:
-    """remove_words() of what the marks of all batches of docs say, the ambiguous blocks verified window by window."""
-    whole = marks.where("covered").select("d", "t", F.col("s0").alias("from"), (F.col("s0") + F.col("nw") * F.col("rep") + (length - 1)).alias("to"))
-    late = later_windows(materialize(window_hashes(docs, marks, length), "windows"))
-    return remove_words(docs, whole.unionByName(late.select("d", "t", F.col("s").alias("from"), (F.col("s") + length).alias("to"))))
+    lists = marks.groupBy("row", "d").agg(F.collect_list(F.struct("a", "s0", "nw")).alias("marks"))
+    return texts.select("row", "z").join(lists, "row").select("row", "d", "z", "marks").mapInArrow(tidy(find), WINDOW)
 
 
 def drop_repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: int = BATCHES) -> DataFrame:
@@ -131,14 +162,14 @@ def drop_repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRA
     starts in a document with a smaller doc_id is removed; windows are judged on the input.
 
     Null text has no words. A null doc_id counts as the largest. Rows that share a doc_id are one document, in which
-    nothing counts as smaller, and give a row each. An empty table gives an empty table; further columns are not read.
+    nothing counts as smaller, and give a row each, whatever their texts. An empty table gives an empty table; further
+    columns are not read.
     """
-    rows = keyed(docs, LAST)
-    cuts = sorted(set(rows.where(F.col("doc_id").isNotNull()).select("d").stat.approxQuantile("d", [i / batches for i in range(1, batches)], 0.01)))
+    d = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST).cast("long"))
+    cuts = sorted(set(docs.where(F.col("doc_id").isNotNull()).select(d.alias("d")).stat.approxQuantile("d", [i / batches for i in range(1, batches)], 0.01)))
     edges = [None, *map(int, cuts), None]
-    index, marks = FingerprintIndex(docs.sparkSession, length=length, gram=gram), None
+    index, out = FingerprintIndex(docs.sparkSession, length, gram), None
     for low, high in zip(edges, edges[1:], strict=False):
-        part = rows.where((F.lit(True) if low is None else F.col("d") > low) & (F.lit(True) if high is None else F.col("d") <= high))
-        found = index.ingest(part)
-        marks = found if marks is None else marks.unionByName(found)
-    return resolve(rows, marks, length)
+        found = index.ingest(docs.where((F.lit(True) if low is None else d > low) & (F.lit(True) if high is None else d <= high)))
+        out = found if out is None else out.unionByName(found)
+    return out.select("doc_id", F.col("n").alias("n_words"), "n_removed", "kept")

@@ -1,11 +1,12 @@
 """Exact substring deduplication with a sampled suffix array.
 
 Every string of LENGTH bytes that also starts elsewhere is removed wherever it occurs. Suffixes are sampled at
-content-defined anchors (anchors.py). Blocks with an equal twin are removed whole; suffixes of the other blocks that
-share an anchor are sorted: sampled splitters range-partition them by the tokens at their anchor, each bucket sorts
-its suffixes by multikey quicksort on 8-byte digits, and neighbours in order are compared over LENGTH bytes. The
-splitters never part suffixes with equal leading tokens, so no match lies across a boundary; an anchor that is hot is
-spread over many buckets by the offset of the suffix to its anchor, which equal suffixes have in common.
+content-defined anchors (anchors.py). Suffixes of blocks that share an anchor and differ are sorted: sampled splitters
+range-partition them by the tokens at their anchor, each bucket sorts its suffixes by multikey quicksort on 8-byte
+digits, and neighbours in order are compared over LENGTH bytes. Equal leading tokens always go to one bucket, so there
+is nothing to compare across a boundary; an anchor that is hot is spread over many buckets by the offset of the suffix
+to its anchor, which equal suffixes have in common. Blocks with an equal twin need no sorting among each other: one of
+them is sorted for all, and the bytes of the others are compared with that one's before they are removed.
 """
 
 from __future__ import annotations
@@ -14,19 +15,39 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .anchors import block_rows, by_document, keyed, packed_texts, shared_blocks
-from .common import materialize, tidy
+from .anchors import _columns, block_rows, claims_of, numbered, removed, spans_of
+from .common import discard, hot_keys, materialize, tidy
 
 LENGTH, GRAM = 200, 32
 #: Windows to a slice of a hot anchor's block, and suffixes that a bucket sorts at once (a group stays whole).
 SLICE, SORTED_AT_ONCE = 16, 150_000
-FRAGMENT = "lead long, a long, slice int, d long, t int, s0 int, body binary"
+FRAGMENT = "lead long, a long, slice int, row long, s0 int, body binary"
 
 
-def fragments(docs: DataFrame, marks: DataFrame, length: int) -> DataFrame:
+def shared_blocks(rows: DataFrame) -> DataFrame:
+    """Blocks whose anchor occurs more than once, with src (a block's first place) and flags covered, expand and hot.
+
+    covered: the block has a twin. expand: this is its first place, and its suffixes must be sorted with those of other
+    blocks at the anchor. Rows of hot anchors are aggregated map-side and joined back, the others meet in one task per
+    anchor.
+    """
+    keys = F.broadcast(hot_keys(rows, "a"))
+    cold, hot = rows.join(keys, "a", "left_anti"), rows.join(keys, "a", "left_semi")
+    anchor, block = Window.partitionBy("a"), Window.partitionBy("a", "b")
+    place = F.struct("row", "s0")
+    cold = cold.repartition("a").select("*", F.sum("rep").over(anchor).alias("n_a"), F.sum("rep").over(block).alias("n_ab"), F.min(place).over(block).alias("src"))
+    by_block = materialize(hot.groupBy("a", "b").agg(F.sum("rep").alias("n_ab"), F.min(place).alias("src")), "hot-blocks")
+    by_anchor = by_block.groupBy("a").agg(F.sum("n_ab").alias("n_a"))
+    hot = hot.join(by_block, ["a", "b"]).join(F.broadcast(by_anchor), "a").withColumn("hot", F.lit(True))
+    both = cold.where("n_a > 1").withColumn("hot", F.lit(False)).unionByName(hot.where("n_a > 1"))
+    covered, expand = F.col("n_ab") > 1, (place == F.col("src")) & (F.col("n_ab") < F.col("n_a"))
+    return both.select("row", "a", "s0", "nw", "off", "rep", "src", covered.alias("covered"), expand.alias("expand"), "hot").where("covered or expand")
+
+
+def fragments(texts: DataFrame, marks: DataFrame, length: int) -> DataFrame:
     """FRAGMENT rows: the bytes under the windows of blocks to expand, keyed by the tokens at their anchor."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -34,8 +55,7 @@ def fragments(docs: DataFrame, marks: DataFrame, length: int) -> DataFrame:
 
         loose = zstandard.ZstdDecompressor()
         for batch in batches:
-            for i in range(len(batch)):
-                d, t, z, own = (batch.column(n)[i].as_py() for n in ("d", "t", "z", "marks"))
+            for row, z, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 text, rows = loose.decompress(z), []
                 for m in own:
                     at = m["s0"] + m["off"]
@@ -45,21 +65,20 @@ def fragments(docs: DataFrame, marks: DataFrame, length: int) -> DataFrame:
                         # slices are counted back from the anchor, so equal windows are in equal slices
                         piece = (at - start) // SLICE if m["hot"] else 0
                         stop = min(end, at - piece * SLICE + 1) if m["hot"] else end
-                        rows.append((lead, m["a"], piece, d, t, start, text[start : stop + length - 1]))
+                        rows.append((lead, m["a"], piece, row, start, text[start : stop + length - 1]))
                         start = stop
-                kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
-                names = [x.split() for x in FRAGMENT.split(", ")]
-                yield pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows, strict=True), names, strict=True)], names=[n for n, _ in names])
+                yield _columns(FRAGMENT, list(zip(*rows, strict=True)))
 
-    lists = by_document(marks.where("expand"), "a", "s0", "nw", "off", "hot")
-    return packed_texts(docs).join(lists, ["d", "t"]).select("d", "t", "z", "marks").mapInArrow(tidy(cut), FRAGMENT)
+    lists = marks.where("expand").groupBy("row").agg(F.collect_list(F.struct("a", "s0", "nw", "off", "hot")).alias("marks"))
+    return texts.select("row", "z").join(lists, "row").select("row", "z", "marks").mapInArrow(tidy(cut), FRAGMENT)
 
 
 def equal_suffixes(bodies: list[bytes], group: np.ndarray, length: int) -> list[np.ndarray]:
     """For each body the offsets whose next `length` bytes also start at another place of its group.
 
-    Multikey quicksort, one 8-byte digit at a time: each round parts what is still tied by the next digit and drops
-    what is left alone.
+    Multikey quicksort with digits of 8 bytes, all segments of a round at once: a segment is parted in three by the
+    digit of its middle element, the middle part goes on to the next digit, and a suffix that is left alone is in its
+    place and has no equal. The segments that come to the end of `length` bytes hold equal suffixes.
     """
     size = np.fromiter(map(len, bodies), np.int64, len(bodies))
     starts = np.concatenate(([0], np.cumsum(size)[:-1]))
@@ -69,18 +88,26 @@ def equal_suffixes(bodies: list[bytes], group: np.ndarray, length: int) -> list[
         digits = (digits << np.uint64(8)) | buffer[j : len(buffer) - 7 + j]
     windows = size - length + 1
     place = np.repeat(starts - np.concatenate(([0], np.cumsum(windows)[:-1])), windows) + np.arange(windows.sum())
-    tied = np.repeat(group, windows)
-    for depth in range(0, length, 8):
-        digit = digits[place + min(depth, length - 8)]
-        order = np.lexsort((digit, tied))
-        place, tied, digit = place[order], tied[order], digit[order]
-        new = np.concatenate(([True], (tied[1:] != tied[:-1]) | (digit[1:] != digit[:-1])))
+    segment, depth = np.repeat(group, windows), np.zeros(len(place), np.int64)
+    equal = []
+    while len(place):
+        new = np.concatenate(([True], segment[1:] != segment[:-1]))
         alone = new & np.append(new[1:], True)
-        tied = np.cumsum(new)[~alone]
-        place = place[~alone]
+        done = ~alone & (depth >= length)
+        equal.append(place[done])
+        place, segment, depth = (x[~(alone | done)] for x in (place, segment, depth))
         if not len(place):
             break
-    place = np.sort(place)
+        first = np.flatnonzero(np.concatenate(([True], segment[1:] != segment[:-1])))
+        count = np.diff(np.append(first, len(place)))
+        digit = digits[place + np.minimum(depth, length - 8)]
+        pivot = np.repeat(digit[first + count // 2], count)
+        side = 1 + (digit > pivot).astype(np.int64) - (digit < pivot)
+        segment = 3 * np.repeat(np.arange(len(first)), count) + side
+        depth = depth + 8 * (side == 1)
+        order = np.argsort(segment, kind="stable")
+        place, segment, depth = place[order], segment[order], depth[order]
+    place = np.sort(np.concatenate(equal)) if equal else np.empty(0, np.int64)
     body = np.searchsorted(starts, place, side="right") - 1
     cuts = np.searchsorted(body, np.arange(1, len(bodies)))
     return [p - s for p, s in zip(np.split(place, cuts), starts, strict=True)]
@@ -95,15 +122,15 @@ def runs(offsets: np.ndarray, length: int) -> list[tuple[int, int]]:
 
 
 def sorted_buckets(pieces: DataFrame, length: int) -> DataFrame:
-    """(d, t, from, to) of repeated spans, from FRAGMENT rows."""
+    """(row, start, size) of repeated spans, from FRAGMENT rows."""
+    found = "row long, start int, size int"
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(rows: list[tuple]) -> pa.RecordBatch:
             new = [i == 0 or rows[i][:3] != rows[i - 1][:3] for i in range(len(rows))]
-            found = equal_suffixes([r[6] for r in rows], np.cumsum(new), length)
-            out = [(r[3], r[4], r[5] + a, r[5] + b) for r, offsets in zip(rows, found, strict=True) for a, b in runs(offsets, length)]
-            columns = list(zip(*out, strict=True)) or [[]] * 4
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)], names=["d", "t", "from", "to"])
+            equal = equal_suffixes([r[5] for r in rows], np.cumsum(new), length)
+            out = [(r[3], r[4] + a, b - a) for r, offsets in zip(rows, equal, strict=True) for a, b in runs(offsets, length)]
+            return _columns(found, list(zip(*out, strict=True)) or [[]] * 3)
 
         held: list[tuple] = []
         weight = 0
@@ -113,40 +140,12 @@ def sorted_buckets(pieces: DataFrame, length: int) -> DataFrame:
                     yield flush(held)
                     held, weight = [], 0
                 held.append(row)
-                weight += len(row[6]) - length + 1
+                weight += len(row[5]) - length + 1
         if held:
             yield flush(held)
 
     order = ["lead", "a", "slice"]
-    return pieces.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(tidy(sort), "d long, t int, from int, to int")
-
-
-def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept) of every keyed document, from (d, t, from, to) rows that may overlap."""
-
-    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        loose = zstandard.ZstdDecompressor()
-        for batch in batches:
-            for at in range(0, len(batch), 200):
-                rows = []
-                for doc_id, z, own in zip(*(batch.column(n).slice(at, 200).to_pylist() for n in ("doc_id", "z", "marks")), strict=True):
-                    text = b"" if z is None else loose.decompress(z)
-                    merged: list[list[int]] = []
-                    for a, b in sorted((m["from"], m["to"]) for m in own or []):
-                        if merged and a <= merged[-1][1]:
-                            merged[-1][1] = max(b, merged[-1][1])
-                        else:
-                            merged.append([a, b])
-                    edges = [0, *(x for span in merged for x in span), len(text)]
-                    kept = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-                    rows.append((doc_id, len(text), len(text) - len(kept), len(merged), kept))
-                columns = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns[:4]] + [pa.array(columns[4], pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
-
-    joined = packed_texts(docs).join(by_document(spans, "from", "to"), ["d", "t"], "left").select("doc_id", "z", "marks")
-    return joined.mapInArrow(tidy(remove), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return pieces.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(tidy(sort), found)
 
 
 def drop_repeated_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -154,14 +153,22 @@ def drop_repeated_substrings(docs: DataFrame, length: int = LENGTH, gram: int =
 
     Texts are UTF-8 bytes (null: empty). Every byte covered by a string of `length` bytes that also starts at any other
     place, the same document included, is removed; strings are judged on the input, matches never cross documents.
-    Repeated rows are places of their own, so each loses what the other holds. A null doc_id is a document like any
-    other. An empty table gives an empty table; further columns are not read.
+    Repeated rows are places of their own, so each loses what the other holds. Rows with a null or repeated doc_id are
+    documents like any other, known by a row number. An empty table gives an empty table; further columns are not read.
     """
-    rows = keyed(docs)
-    blocks = materialize(block_rows(rows, length, gram, words=False), "blocks")
-    marks = materialize(shared_blocks(blocks, False, lambda df: materialize(df, "hot-blocks")), "marks")
-    repeated = sorted_buckets(fragments(rows, marks, length), length)
-    whole = marks.where("covered").select("d", "t", F.col("s0").alias("from"), (F.col("s0") + F.col("nw") * F.col("rep") + (length - 1)).alias("to"))
-    return remove_spans(rows, whole.unionByName(repeated))
-
-
+    texts = numbered(docs)
+    blocks = materialize(block_rows(texts, length, gram, words=False).drop("d"), "blocks")
+    marks = materialize(shared_blocks(blocks), "marks")
+    discard(blocks)
+    pieces = materialize(fragments(texts, marks, length), "suffixes")
+    repeated = materialize(sorted_buckets(pieces, length), "repeated")
+    discard(pieces)
+    twins = F.col("covered") & ((F.struct("row", "s0") != F.col("src")) | (F.col("rep") > 1))
+    # The first of equal blocks is its own source, which needs no proof once the others are held against it.
+    src = F.when(twins, F.col("src.row")).otherwise(F.lit(-1).cast("long"))
+    whole = marks.where("covered").select("row", "s0", "nw", "rep", src.alias("src"), F.when(twins, F.col("src.s0")).otherwise(F.col("s0")).alias("src0"))
+    spans = materialize(spans_of(whole, length), "spans")
+    sorted_spans = repeated.select("row", "start", "size", F.lit(1).alias("rep"), F.lit(1).alias("step"), F.lit(-1).cast("long").alias("src"), F.col("start").alias("src_start"))
+    claims = materialize(claims_of(spans.unionByName(sorted_spans), texts, words=False), "claims")
+    discard(marks, spans, repeated)
+    return removed(texts, claims, words=False).withColumnRenamed("n", "n_bytes")

@@ -1,10 +1,12 @@
 """Substring deduplication, suffix-array deduplication and the n-gram join against brute force."""
 
+import os
 import random
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from framewright.llm import anchors, common, components, ngram_join, substring_dedup, suffix_dedup
 
@@ -44,16 +46,63 @@ def test_windows_of_nothing(spark):
 
 
 def test_index_runs_and_compaction(spark):
-    rows = texts(5)
-    docs = anchors.keyed(documents(spark, rows, extra=False).where("doc_id IS NOT NULL"), substring_dedup.LAST)
-    index, marks = substring_dedup.FingerprintIndex(spark, length=12, gram=4, most_runs=2), None
-    for low, high in [(0, 8), (8, 20), (20, 30), (30, 1000)]:
-        found = index.ingest(docs.where(f"d >= {low} AND d < {high}"))
-        marks = found if marks is None else marks.unionByName(found)
-        assert len(index.runs) <= 2
-    assert index.history().groupBy("a", "b").count().where("count > 1").count() == 0 or len(index.runs) == 2
-    out = substring_dedup.resolve(docs, marks, 12)
-    same([(r.doc_id, r.n_removed) for r in out.collect()], [(r[0], r[2]) for r in windows_by_force([r for r in rows if r[0] is not None], 12)])
+    """Batch by batch, each answered from its own texts and the runs; what a later batch reads has been compacted."""
+    rows = [r for r in texts(5) if r[0] is not None]
+    docs = documents(spark, rows, extra=False)
+    index, found, tables = substring_dedup.FingerprintIndex(spark, length=12, gram=4, most_runs=2), [], []
+    for low, high in [(0, 8), (8, 20), (20, 27), (27, 31), (31, 31), (31, 1000)]:
+        out = index.ingest(docs.where(f"doc_id >= {low} AND doc_id < {high}"))
+        found += [(r.doc_id, r.n_removed) for r in out.collect()]
+        assert all(len(runs) <= 2 for runs in index.runs.values())
+        tables += [t for runs in index.runs.values() for t in runs]
+    same(found, [(r[0], r[2]) for r in windows_by_force(rows, 12)])
+    kept = {t.table_name for runs in index.runs.values() for t in runs}
+    assert {t.table_name for t in tables} > kept
+    for t in tables:
+        assert os.path.exists(t.written_to.removeprefix("file:").replace("//", "/", 1)) == (t.table_name in kept)
+    for kind in ("blocks", "windows"):
+        index.compact()
+        assert index.runs[kind][0].groupBy(*substring_dedup.KINDS[kind]).count().where("count > 1").count() == 0
+
+
+def test_history_is_not_shuffled(spark):
+    docs = documents(spark, extra=False).where("doc_id IS NOT NULL")
+    index = substring_dedup.FingerprintIndex(spark, length=12, gram=4)
+    index.ingest(docs.where("doc_id < 15"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        batch = index.runs["blocks"][0].groupBy("b", "a").agg(F.min("first").alias("first"), F.max("first.d").alias("last_d"))
+        plan = index._first(batch, "blocks")._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_rows_of_no_or_equal_ids_are_told_apart(spark):
+    """Texts whose 32-bit hashes are equal, in rows without a doc_id, and in rows that share one."""
+    seen, pair, i = {}, None, 0
+    while pair is None:
+        part = [f"t{j} " + " ".join(f"{j}w{k}" for k in range(60)) for j in range(i, i + 40_000)]
+        for t, h in zip(part, spark.createDataFrame([(t,) for t in part], "t string").selectExpr("t", "hash(t) AS h").collect()):
+            if h[1] in seen and seen[h[1]] != h[0]:
+                pair = seen[h[1]], h[0]
+            seen[h[1]] = h[0]
+        i += 40_000
+    for d in (None, 5):
+        rows = [(d, t, None, None, 1) for t in pair] + [(9, pair[0] + " and more", None, None, 1), (None, pair[0], None, None, 1)]
+        docs = documents(spark, rows, extra=False)
+        same([(*r[:4], bytes(r.kept)) for r in suffix_dedup.drop_repeated_substrings(docs).collect()], bytes_by_force(rows, 200))
+        same([(r.doc_id, r.n_words, r.n_removed, bytes(r.kept)) for r in substring_dedup.drop_repeated_windows(docs).collect()], windows_by_force(rows, 50))
+        same(ngram_join.similar_documents(docs).select("doc_id", "class_id", "n_links").collect(), links_by_force(rows))
+        assert {r.text for r in ngram_join.one_of_each(docs).collect()} == {pair[0], pair[1]} if d is not None else True
+
+
+def test_equal_hashes_are_held_against_the_texts(spark, monkeypatch):
+    """With hashes that can't tell symbols apart, different passages look equal; that is an error and not a removal."""
+    monkeypatch.setattr(anchors, "byte_symbols", lambda: np.ones(256, np.uint64))
+    rows = [(i, chr(97 + i) * 300, None, None, 1) for i in range(3)]
+    with pytest.raises(Exception, match="different passages have equal hashes"):
+        suffix_dedup.drop_repeated_substrings(documents(spark, rows, extra=False)).collect()
 
 
 def bytes_by_force(rows, n):
@@ -201,10 +250,26 @@ def test_intersections():
     for i in range(len(sets)):
         for j in range(i):
             assert got[i, j] == len(np.intersect1d(sets[i], sets[j]))
+    assert (ngram_join.intersections(sets, 9) == got[:9, 9:]).all()
 
 
 def test_recall_of_runs():
-    assert ngram_join.runs_for(0.99999999, 0.8) >= 12 and ngram_join.runs_for(0.9, 0.8) <= 3
+    met = 0.8 * (1 - 0.2**ngram_join.BRANCHES) ** ngram_join.LEVELS
+    runs = ngram_join.runs_for(0.99999999, 0.8)
+    assert (1 - met) ** runs <= 1e-8 < (1 - met) ** (runs - 1)
+
+
+def test_recall_on_planted_pairs(spark):
+    """3,000 pairs at 0.8 to 0.82, and as many below: at least 0.99 of the first are found, none of the others."""
+    rng, rows, linked = random.Random(5), [], 0
+    for i in range(6000):
+        size = rng.randrange(40, 120)
+        words = [f"p{i}w{j}" for j in range(size + 4)]
+        least = -(-8 * size // 10) if i < 3000 else -(-8 * size // 10) - rng.randrange(1, 6)
+        rows += [(2 * i, " ".join(words), None, None, 1), (2 * i + 1, " ".join(words[: least + 4]), None, None, 1)]
+    found = {r.doc_id: r.n_links for r in ngram_join.similar_documents(documents(spark, rows, extra=False)).collect()}
+    assert sum(found[2 * i] == found[2 * i + 1] == 1 for i in range(3000)) >= 0.99 * 3000
+    assert not any(found[2 * i] for i in range(3000, 6000))
 
 
 def test_components(spark):
