@@ -18,11 +18,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import Sums, WordHashes, mix, numbered
-from .common import discard, materialize, shared_dir, split_hot, tidy
+from .common import discard, materialize, shared_dir, tidy
 from .components import components
 
 SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.99999999
@@ -119,13 +119,13 @@ def next_paths(rows: DataFrame) -> DataFrame:
 def leaf_buckets(classes: DataFrame, runs: int) -> DataFrame:
     """(path, id, s8, n) of the buckets to compare: those of few classes, and those that are dense."""
     rows, leaves = materialize(first_paths(classes, runs), "paths"), []
-    per_bucket = Window.partitionBy("path")
     for level in range(LEVELS + 1):
-        hot, cold = split_hot(rows, "path")
-        counted = cold.withColumn("n", F.count(F.lit(1)).over(per_bucket)).where("n > 1")
-        leaves.append(materialize(counted.where(F.col("n") <= SMALL).select("path", "id", "s8", "n"), "leaves"))
-        sizes = hot.groupBy("path").agg(F.count(F.lit(1)).alias("n"))
-        big = materialize(counted.where(F.col("n") > SMALL).select("path", "id", "s8", "n").unionByName(hot.join(F.broadcast(sizes), "path").select("path", "id", "s8", "n")), "large")
+        # Sizes are summed up before they move, and written, so that the join can split a large bucket.
+        sizes = materialize(rows.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
+        counted = materialize(rows.join(sizes, "path").select("path", "id", "s8", "n"), "counted")
+        discard(sizes)
+        leaves.append(counted.where(F.col("n") <= SMALL))
+        big = counted.where(F.col("n") > SMALL)
         if not big.head(1):
             break
         if level == LEVELS:
