@@ -38,16 +38,17 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
-def bucketed(df: DataFrame, keys: list[str], label: str, buckets: int | None = None) -> DataFrame:
+def bucketed(df: DataFrame, keys: list[str], label: str, buckets: int | None = None, lies_so: bool = False) -> DataFrame:
     """materialize(), hash-partitioned and sorted by keys: joins and aggregations by them don't move this side again.
 
     A table by the same keys and number of buckets (by default the session's number of shuffle partitions) lies alike.
+    lies_so: df comes from an aggregation or join by these keys, so its rows need not be moved to be written.
     """
     spark = df.sparkSession
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"{label}_{uuid.uuid4().hex}".replace("-", "_")
     path = f"{shared_dir(spark)}/tables/{name}"
-    df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys).format("parquet").option("path", path).saveAsTable(name)
+    (df if lies_so else df.repartition(buckets, *keys)).write.bucketBy(buckets, *keys).sortBy(*keys).format("parquet").option("path", path).saveAsTable(name)
     out = spark.table(name)
     out.written_to, out.table_name = path, name
     return out

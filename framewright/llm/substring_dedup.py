@@ -49,6 +49,7 @@ class FingerprintIndex:
         """df with `old`: the column's values in the runs that have its key, in an array."""
         names = df.columns
         for i, run in enumerate(self.runs[kind]):
+            run = run.where("NOT known") if "known" in run.columns else run  # a batch's table also has what was known
             df = df.join(run.select(*KINDS[kind], F.col(column).alias(f"old{i}")), KINDS[kind], "left")
         found = F.array_compact(F.array(*(F.col(f"old{i}") for i in range(len(self.runs[kind]))))) if self.runs[kind] else None
         return df.select(*names, F.lit(None).alias("old") if found is None else found.alias("old"))
@@ -70,9 +71,10 @@ class FingerprintIndex:
     def compact(self) -> None:
         """Merge the runs of each kind into one and delete them. A fingerprint is in one run, that of its first place."""
         for kind, keys in KINDS.items():
-            both = self.runs[kind][0]
-            for more in self.runs[kind][1:]:
-                both = both.unionByName(more)
+            both = None
+            for run in self.runs[kind]:
+                own = (run.where("NOT known") if "known" in run.columns else run).select(*keys, "first", *(["n"] if kind == "anchors" else []))
+                both = own if both is None else both.unionByName(own)
             if kind == "anchors":
                 both = both.groupBy("a").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
             merged = bucketed(both, keys, f"compacted-{kind}", self.buckets)
@@ -92,9 +94,9 @@ class FingerprintIndex:
         rows = materialize(block_rows(texts, self.length, self.gram, words=True), "block-rows")
         # One row for each block, summed up before it moves, so no repeated passage meets in one task.
         blocks = rows.groupBy("b", "a").agg(F.min(F.struct("d", "row", "s0", "nw")).alias("first"), F.max("d").alias("last_d"))
-        blocks = materialize(self._first(blocks, "blocks"), "blocks")
-        new = blocks.where("NOT known")
-        anchors = materialize(new.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("first")), "anchors")
+        blocks = bucketed(self._first(blocks, "blocks"), KINDS["blocks"], "blocks", self.buckets, lies_so=True)
+        anchors = blocks.where("NOT known").groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("first"))
+        anchors = bucketed(anchors, KINDS["anchors"], "anchors", self.buckets, lies_so=True)
         mixed, alone = self._mixed(anchors)
         flagged = blocks.select("b", "a", "src", "known").join(mixed.select("a", F.lit(True).alias("mixed")), "a", "left")
         flagged = materialize(flagged.select("b", "a", "src", (~F.col("known") & F.col("mixed").isNotNull()).alias("mixed")).where("src IS NOT NULL OR mixed"), "flagged")
@@ -105,9 +107,9 @@ class FingerprintIndex:
         found = found.unionByName(self._windows(texts, marks.where("NOT covered"), alone))
         spans = materialize(spans_of(found, self.length), "spans")
         claims = materialize(claims_of(spans, self._history(), words=True), "claims")
-        self.runs["blocks"].append(bucketed(new.select("b", "a", "first"), KINDS["blocks"], "blocks", self.buckets))
-        self.runs["anchors"].append(bucketed(anchors, KINDS["anchors"], "anchors", self.buckets))
-        discard(rows, blocks, anchors, mixed, flagged, marks, spans)
+        self.runs["blocks"].append(blocks)
+        self.runs["anchors"].append(anchors)
+        discard(rows, mixed, flagged, marks, spans)
         return removed(texts, claims, words=True)
 
     def _mixed(self, anchors: DataFrame) -> tuple[DataFrame, DataFrame | None]:
@@ -126,12 +128,12 @@ class FingerprintIndex:
         late = None if alone is None else materialize(window_hashes(self._history(), alone.select("row", "d", "a", "s0", "nw"), self.length), "late-windows")
         every = own if late is None else own.unionByName(late)
         firsts = every.groupBy("h", "a").agg(F.min(F.struct("d", "row", "s")).alias("first"), F.max("d").alias("last_d"))
-        firsts = materialize(self._first(firsts, "windows"), "first-windows")
+        firsts = bucketed(self._first(firsts, "windows"), KINDS["windows"], "windows", self.buckets, lies_so=True)
         found = own.join(firsts.where("src IS NOT NULL").select("h", "a", "src"), ["h", "a"]).where("d > src.d")
         found = found.select("row", F.col("s").alias("s0"), F.lit(1).alias("nw"), F.lit(1).alias("rep"), F.col("src.row").alias("src"), F.col("src.s").alias("src0"))
         found = materialize(found, "window-marks")
-        self.runs["windows"].append(bucketed(firsts.where("NOT known").select("h", "a", "first"), KINDS["windows"], "windows", self.buckets))
-        discard(own, firsts, *([] if late is None else [late]))
+        self.runs["windows"].append(firsts)
+        discard(own, *([] if late is None else [late]))
         return found
 
 
