@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import tidy
 
 #: Bytes that a window labels, those it only reads on either side, hidden units of each direction.
-SPAN, CONTEXT, HIDDEN = 512, 32, 8
+SPAN, CONTEXT, HIDDEN = 1024, 32, 8
 #: The bounded sample that is learned from: documents of each language, and windows (of so many characters) of each document.
 SAMPLE_DOCS, SAMPLE_WINDOWS, WINDOW_CHARS = 250, 32, 72
 #: Steps for up to STEP_LANGUAGES languages; with more, in proportion, so that a language is met as often.
