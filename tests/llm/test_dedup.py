@@ -80,14 +80,11 @@ def test_history_is_not_shuffled(spark):
 
 def test_rows_of_no_or_equal_ids_are_told_apart(spark):
     """Texts whose 32-bit hashes are equal, in rows without a doc_id, and in rows that share one."""
-    seen, pair, i = {}, None, 0
-    while pair is None:
-        part = [f"t{j} " + " ".join(f"{j}w{k}" for k in range(60)) for j in range(i, i + 40_000)]
-        for t, h in zip(part, spark.createDataFrame([(t,) for t in part], "t string").selectExpr("t", "hash(t) AS h").collect()):
-            if h[1] in seen and seen[h[1]] != h[0]:
-                pair = seen[h[1]], h[0]
-            seen[h[1]] = h[0]
-        i += 40_000
+    text = lambda j: f"t{j} " + " ".join(f"{j}w{k}" for k in range(60))
+    made = F.concat(F.lit("t"), "id", F.lit(" "), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(59)), lambda k: F.concat(F.col("id").cast("string"), F.lit("w"), k.cast("string"))), " "))
+    twice = spark.range(250_000).select("id", F.hash(made).alias("h")).groupBy("h").agg(F.collect_list("id").alias("ids")).where(F.size("ids") > 1).orderBy("h").first().ids
+    pair = text(twice[0]), text(twice[1])
+    assert spark.createDataFrame([(t,) for t in pair], "t string").select(F.hash("t")).distinct().count() == 1
     for d in (None, 5):
         rows = [(d, t, None, None, 1) for t in pair] + [(9, pair[0] + " and more", None, None, 1), (None, pair[0], None, None, 1)]
         docs = documents(spark, rows, extra=False)
