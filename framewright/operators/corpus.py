@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# The forms of a citation and what each becomes; @ stands for the address.
-CITATIONS = [
-    (r"(?<![\[\w])paper_(\d{3})/(\d{3})(?!/?\d)", "paper_$1, paper_$2"),
-    (r"\[(paper_\d{3}(?:, paper_\d{3})+)\](?!\()", "$1"),
-    (r"\[(paper_\d{3})\](?!\()", "$1"),
-    (r"(?<![\[\w/])(paper_\d{3})(?![\d/]|\]\()", "[$1](@$1)"),
-    (r"(?<![\w./\[])((?:1[5-9]|2\d)\d{2}\.\d{5})(?!\d|\.\w|\]\()", "[$1](@$1)"),
-]
+# What a paper and what a preprint number look like.
+PAPER, NUMBER = r"paper_\d{3}", r"(?:1[5-9]|2\d)\d{2}\.\d{5}"
+
+# A text is read as a row of pieces, whichever of these comes first at a place: a finished link, a group in brackets that
+# names a paper, a paper with further numbers behind slashes, a word (with the bracket before it) up to the next paper,
+# and any other character.
+LINK, GROUP, CHAIN = r"\[[^\]]*\]\([^)]*\)", rf"\[[^\[\]]*{PAPER}[^\[\]]*\]", rf"{PAPER}(?:/\d{{3}})*"
+PIECES = rf"{LINK}|{GROUP}|{CHAIN}|\[?[\w./]+?(?={PAPER}|[^\w./]|$)|[\s\S]"
 
 
 def missing_fields(rows: DataFrame, fields: list[str]) -> DataFrame:
@@ -90,9 +88,19 @@ def same_path(path: Column) -> Column:
 
 
 def linked(text: Column, address: str = "https://example.org/") -> Column:
-    """Bare paper_000 citations, lists of them in brackets or with slashes, and bare numbers like 2401.01234 as links;
-    what is a link already stays, so doing it twice changes nothing."""
-    return reduce(lambda c, s: F.regexp_replace(c, s[0], s[1].replace("@", address)), CITATIONS, text)
+    """Papers (paper_001), chains of any length (paper_001/002/003), groups in brackets ([paper_001, Sec 2]) and numbers
+    (2401.01234) as links. A finished link is a piece of its own and stays, so doing it twice changes nothing."""
+    link = lambda name: F.concat(F.lit("["), name, F.lit(f"]({address}"), name, F.lit(")"))
+    papers = lambda chain: F.array_join(F.transform(F.regexp_extract_all(chain, F.lit(r"\d{3}"), 0), lambda n: link(F.concat(F.lit("paper_"), n))), ", ")
+    item = lambda x: F.when(x.rlike(f"^{PAPER}$"), link(x)).otherwise(x)
+    items = lambda group: F.array_join(F.transform(F.split(F.regexp_replace(group, r"^\[|\]$", ""), ","), lambda x: item(F.trim(x))), ", ")
+    number = lambda word: F.regexp_extract(word, rf"^({NUMBER})(?!\d|\.\w)", 1)
+
+    def shown(piece: Column) -> Column:
+        word = F.when(number(piece) != "", F.concat(link(number(piece)), F.substring(piece, 11, 1 << 20))).otherwise(piece)
+        return F.when(piece.rlike(f"^{LINK}$"), piece).when(piece.rlike(f"^{GROUP}$"), items(piece)).when(piece.rlike(f"^{CHAIN}$"), papers(piece)).otherwise(word)
+
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(PIECES), 0), shown), "")
 
 
 def entries_of_feed(xml: Column) -> Column:

@@ -141,26 +141,27 @@ class Limits:
     settle: float = 0.10
 
 
-@dataclass
-class Follower:
-    """State of a rate-limited tracker: it feeds the target's velocity forward and closes an offset in about `settle`
-    seconds, clamping jerk, then acceleration, then speed."""
-
-    limits: Limits
-    dt: float
-    position: np.ndarray
-    velocity: np.ndarray | None = None
-    acceleration: np.ndarray | None = None
-
-    def step(self, target: np.ndarray, velocity: np.ndarray) -> np.ndarray:
-        lim, dt, zero = self.limits, self.dt, np.zeros_like(self.position)
-        v, a = (zero if x is None else x for x in (self.velocity, self.acceleration))
-        goal = np.clip(velocity + (target - self.position) / lim.settle, -lim.speed, lim.speed)
-        change = np.clip(((goal - v) / dt - a) / dt, -lim.jerk, lim.jerk) * dt
-        self.acceleration = np.clip(a + change, -lim.acceleration, lim.acceleration)
-        self.velocity = np.clip(v + self.acceleration * dt, -lim.speed, lim.speed)
-        self.position = self.position + self.velocity * dt
-        return self.position
+def limit_run(targets: np.ndarray, feeds: np.ndarray, limits: Limits, dt: float, motion: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Motions (tick, position/velocity/acceleration, joint) that follow targets moving at feeds, and the last of them.
+
+    At each tick the accelerations within reach are those that jerk allows from the present one and the limit allows at
+    all. Of these the nearest is taken to the one that would reach the wanted velocity at once: the target's own, and
+    what closes the offset in `settle` seconds.
+    """
+    out = np.empty((len(targets), *motion.shape))
+    reach = limits.jerk * dt
+    for tick in range(len(targets)):
+        p, v, a = motion
+        wanted = np.clip(feeds[tick] + (targets[tick] - p) / limits.settle, -limits.speed, limits.speed)
+        nearest = np.minimum(np.maximum((wanted - v) / dt, np.maximum(a - reach, -limits.acceleration)), np.minimum(a + reach, limits.acceleration))
+        velocity = np.clip(v + nearest * dt, -limits.speed, limits.speed)
+        motion = out[tick] = np.stack([p + velocity * dt, velocity, nearest])
+    return out, motion
+
+
+def at_rest(position: np.ndarray) -> np.ndarray:
+    """The motion that stands still at a position."""
+    return np.stack([position, np.zeros_like(position), np.zeros_like(position)]).astype(float)
 
 
 def per_episode(frames: DataFrame, f: Callable[[pd.DataFrame], pd.DataFrame], schema: str, key: str = "episode", order: str = "frame") -> DataFrame:
@@ -172,12 +173,11 @@ def limited(ticks: DataFrame, limits: Limits, dt: float) -> DataFrame:
     """(chunk, tau, q, v) that follows ticks of the same columns within the limits."""
 
     def follow(p: pd.DataFrame) -> pd.DataFrame:
-        target, speed = np.stack(p["q"]), np.stack(p["v"])
-        state, out = Follower(limits, dt, target[0].astype(float)), []
-        for t, v in zip(target, speed, strict=True):
-            out.append((state.step(t, v), state.velocity))
-        return pd.DataFrame({"chunk": p["chunk"], "tau": p["tau"], "q": [o[0] for o in out], "v": [o[1] for o in out]})
+        target = np.stack(p["q"])
+        moved, _ = limit_run(target, np.stack(p["v"]), limits, dt, at_rest(target[0]))
+        return pd.DataFrame({"chunk": p["chunk"], "tau": p["tau"], "q": list(moved[:, 0]), "v": list(moved[:, 1])})
 
+    ticks = ticks.where("q IS NOT NULL AND v IS NOT NULL")  # a tick without a target isn't one
     return per_episode(ticks, follow, "chunk long, tau double, q array<double>, v array<double>", "chunk", "tau")
 
 
@@ -204,30 +204,53 @@ def splice(steps: DataFrame, asked: DataFrame, replan: int) -> DataFrame:
     return steps.where(F.col("k") <= replan).join(asked, ["episode", "frame"]).select("episode", F.col("frame").alias("chunk"), "k", "q")
 
 
-def corner_speeds(points: np.ndarray, ceiling: float, acceleration: float, margin: float = 0.95) -> np.ndarray:
-    """Speeds at which a path may be passed through at its points: none at the ends, less the sharper the corner, and
-    reachable from both sides with the acceleration."""
-    d = np.diff(points, axis=0)
-    length = np.linalg.norm(d, axis=1)
-    unit = d / np.maximum(length, 1e-12)[:, None]
-    v = np.zeros(len(points))
-    if len(points) > 2:
-        turn = np.clip((unit[:-1] * unit[1:]).sum(1), -1.0, 1.0)
-        v[1:-1] = ceiling * np.sqrt((1 + turn) / 2) * (np.minimum(length[:-1], length[1:]) > 0)
-    for i in range(1, len(v)):
-        v[i] = min(v[i], np.sqrt(v[i - 1] ** 2 + 2 * acceleration * length[i - 1]))
-    for i in range(len(v) - 2, -1, -1):
-        v[i] = min(v[i], np.sqrt(v[i + 1] ** 2 + 2 * acceleration * length[i]))
-    return v * margin
+def along(limits: np.ndarray, direction: np.ndarray) -> np.ndarray:
+    """The largest scalar along each direction that keeps every joint within its limit; infinite without a direction."""
+    share = np.abs(direction)
+    with np.errstate(divide="ignore"):
+        return np.where(share > 1e-9, limits / share, np.inf).min(1)
+
 
+def climb(squares: np.ndarray, gains: np.ndarray) -> np.ndarray:
+    """The largest squares of speeds below these that gain at most so much from each to the next.
 
-def junction_speeds(frames: DataFrame, ceiling: float, acceleration: float) -> DataFrame:
-    """(episode, frame, speed) by corner_speeds()."""
+    In sums of the gains, a speed's bound is the least of all before it, so the sweep is a running minimum.
+    """
+    sums = np.concatenate([[0.0], np.cumsum(gains)])
+    return sums + np.minimum.accumulate(squares - sums)
+
+
+def junction_velocities(points: np.ndarray, speed: np.ndarray, acceleration: np.ndarray, margin: float = 0.25) -> np.ndarray:
+    """Velocities at which a path may be passed through at its points, by limits of each joint; zero at both ends.
+
+    A point's speed is bounded by what the joints allow along the way out, by the turn (the velocity must swing by the
+    chord between the ways in and out, within the shorter of the two segments) and by what the segments on both sides
+    can build up and shed. All of it is then taken times the margin.
+    """
+    steps = np.diff(points, axis=0)
+    length = np.linalg.norm(steps, axis=1)
+    unit = steps / np.maximum(length, 1e-300)[:, None]
+    direction, bound = np.zeros_like(points), np.zeros(len(points))
+    inner = np.flatnonzero((length[:-1] >= 1e-9) & (length[1:] >= 1e-9)) + 1
+    direction[inner] = unit[inner]
+    push = along(acceleration, direction)
+    push[np.isinf(push)] = acceleration.min()
+    swing = np.linalg.norm(unit[inner] - unit[inner - 1], axis=1)
+    turn = np.sqrt(push[inner] * np.minimum(length[inner - 1], length[inner]) / np.maximum(swing, 1e-300))
+    bound[inner] = np.minimum(along(speed, direction[inner]), np.where(swing > 1e-6, turn, np.inf))
+    gains = 2 * np.minimum(push[:-1], push[1:]) * length
+    squares = climb(climb(bound**2, gains)[::-1], gains[::-1])[::-1]
+    return direction * (margin * np.sqrt(np.maximum(squares, 0.0)))[:, None]
+
+
+def junction_speeds(frames: DataFrame, speed: list[float], acceleration: list[float], margin: float = 0.25) -> DataFrame:
+    """(episode, frame, v) by junction_velocities(); frames without q are left out."""
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"episode": p["episode"], "frame": p["frame"], "speed": corner_speeds(np.stack(p["q"]), ceiling, acceleration)})
+        v = junction_velocities(np.stack(p["q"]).astype(float), np.array(speed), np.array(acceleration), margin)
+        return pd.DataFrame({"episode": p["episode"], "frame": p["frame"], "v": list(v)})
 
-    return per_episode(frames, run, "episode long, frame long, speed double")
+    return per_episode(frames.where("q IS NOT NULL"), run, "episode long, frame long, v array<double>")
 
 
 def greedy_order(path: np.ndarray, up_to: int) -> list[int]:
@@ -280,11 +303,8 @@ def spline_basis(t: np.ndarray, knots: np.ndarray, degree: int = 3) -> np.ndarra
 def fit_spline(path: np.ndarray, n: int, least_gap: float = 1.5) -> np.ndarray:
     """The least-squares cubic spline of n coefficients (fewer where knots would crowd), at every frame."""
     t, last = np.arange(len(path), dtype=float), len(path) - 1.0
-    inner = np.linspace(0, last, max(n - 4, 0) + 2)[1:-1]
-    kept: list[float] = []
-    for x in inner:
-        if not kept or x - kept[-1] >= least_gap:
-            kept.append(float(x))
+    inner = max(0, min(n - 4, int(last / least_gap) - 1))  # as many as the gap leaves room for
+    kept = np.linspace(0, last, inner + 2)[1:-1]
     basis = spline_basis(t, np.concatenate([np.zeros(4), kept, np.full(4, last)]))
     return basis @ np.linalg.lstsq(basis, path, rcond=None)[0]
 

@@ -156,8 +156,8 @@ def replan_splices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def junction_speeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = B.junction_speeds(R.supplier_recordings(spark, sf_dir), 100.0, 500.0)
-    return out.groupBy("episode").agg(*(F.round(f("speed"), 4).alias(n) for f, n in ((F.avg, "mean"), (F.max, "fastest"))))
+    out = B.junction_speeds(R.supplier_recordings(spark, sf_dir), [30.0, 60.0, 0.05, 0.04], [300.0, 600.0, 0.5, 0.4])
+    return out.select("episode", "frame", *(F.round(F.col("v")[i], 5).alias(f"v{i}") for i in range(4)))
 
 
 def greedy_keypoints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,22 +1,24 @@
 """The online chunk follower: chunks are pushed as they arrive, and every tick gives a position and a velocity.
 
-In batch it runs per robot over ordered rows; as a stream it is a stateful processor per robot. Both use one machine.
+A state is a value: the chunk that is played, the one before it, when each began, and the limited motion. Ticks between
+two pushes are one run, evaluated as arrays. In batch it is run per robot over ordered rows; as a stream the state is
+kept per robot in typed columns. Both use the same two functions.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.playback import Follower, Limits
+from ..operators.playback import Limits, at_rest, limit_run
 
 OUT = "robot long, tick long, q array<double>, v array<double>, exhausted boolean"
+STATE = "tick long, width int, points array<double>, began double, earlier array<double>, earlier_began double, pushed long, motion array<double>"
 
 
 @dataclass(frozen=True)
@@ -28,101 +30,118 @@ class PlaybackConfig:
     limits: Limits | None = None
 
 
-def timed_curve(points: np.ndarray, cfg: PlaybackConfig) -> dict:
-    """A chunk as times, points and tangents."""
-    d = np.linalg.norm(np.diff(points, axis=0), axis=1)
-    times = np.cumsum(np.maximum(np.concatenate([d[:1] if len(d) else [0.0], d]) / cfg.speed, cfg.least_dt))
-    m = np.zeros_like(points)
-    if len(points) > 1:
-        s = np.diff(points, axis=0) / np.diff(times)[:, None]
-        m[0], m[-1] = s[0], s[-1]
-        a, b = s[:-1], s[1:]
-        bound = 3 * np.minimum(np.abs(a), np.abs(b))
-        m[1:-1] = np.where(a * b <= 0, 0.0, np.clip((a + b) / 2, -bound, bound))
-    return {"times": times.tolist(), "points": points.tolist(), "tangents": m.tolist()}
-
-
-def at(curve: dict, tau: float) -> tuple[np.ndarray, np.ndarray]:
-    """Position and velocity; the ends are held."""
-    times, p, m = (np.array(curve[k]) for k in ("times", "points", "tangents"))
-    if tau <= times[0] or tau >= times[-1]:
-        return p[0 if tau <= times[0] else -1], np.zeros(p.shape[1])
-    i = int(np.searchsorted(times, tau)) - 1
-    h = times[i + 1] - times[i]
-    u = (tau - times[i]) / h
-    basis = np.array([2 * u**3 - 3 * u**2 + 1, u**3 - 2 * u**2 + u, 3 * u**2 - 2 * u**3, u**3 - u**2])
-    slope = np.array([6 * u**2 - 6 * u, 3 * u**2 - 4 * u + 1, 6 * u - 6 * u**2, 3 * u**2 - 2 * u])
-    parts = np.stack([p[i], m[i] * h, p[i + 1], m[i + 1] * h])
-    return basis @ parts, slope @ parts / h
-
-
-class Player:
-    """Current and previous chunk, the clock in each, the blend that is left and the limiter; kept as plain values."""
-
-    def __init__(self, cfg: PlaybackConfig, state: dict | None = None):
-        self.cfg = cfg
-        self.state = state or {"active": None, "previous": None, "tau": 0.0, "old_tau": 0.0, "left": 0.0, "limiter": None, "tick": 0}
-
-    def push(self, points: np.ndarray, latency: float = 0.0) -> None:
-        s = self.state
-        if s["active"] is not None:
-            s.update(previous=s["active"], old_tau=s["tau"], left=self.cfg.blend)
-        s.update(active=timed_curve(points, self.cfg), tau=float(latency))
-
-    def step(self) -> tuple[np.ndarray, np.ndarray, bool] | None:
-        """The next tick, or None before the first chunk."""
-        s, cfg = self.state, self.cfg
-        if s["active"] is None:
-            return None
-        q, v = at(s["active"], s["tau"])
-        if s["previous"] is not None and s["left"] > 0:
-            q0, v0 = at(s["previous"], s["old_tau"])
-            x = min(max(1 - s["left"] / cfg.blend, 0.0), 1.0)
-            w = 3 * x * x - 2 * x**3
-            q, v = (1 - w) * q0 + w * q, (1 - w) * v0 + w * v
-            s["old_tau"] += cfg.dt
-            s["left"] -= cfg.dt
-            if s["left"] <= 0:
-                s["previous"] = None
-        if cfg.limits is not None:
-            kept = s["limiter"] or {"position": q.tolist(), "velocity": None, "acceleration": None}
-            f = Follower(cfg.limits, cfg.dt, *(None if kept[k] is None else np.array(kept[k]) for k in ("position", "velocity", "acceleration")))
-            q, v = f.step(q, v), f.velocity
-            s["limiter"] = {"position": q.tolist(), "velocity": f.velocity.tolist(), "acceleration": f.acceleration.tolist()}
-        s["tau"] += cfg.dt
-        s["tick"] += 1
-        return q, v, s["tau"] > s["active"]["times"][-1]
-
-
-def play(player: Player, robot: int, rows: pd.DataFrame) -> pd.DataFrame:
-    """Ticks of rows (seq, chunk, width, latency, ticks): push the flat chunk, if there is one, then step `ticks` times."""
+class Curve:
+    """A chunk's points at scheduled times, with a cubic in each interval whose slopes don't overshoot."""
+
+    def __init__(self, points: np.ndarray, cfg: PlaybackConfig):
+        self.points = points
+        d = np.linalg.norm(np.diff(points, axis=0), axis=1)
+        self.times = np.cumsum(np.maximum(np.concatenate([d[:1] if len(d) else [0.0], d]) / cfg.speed, cfg.least_dt))
+        self.cubics = np.zeros((0, 4, points.shape[1]))
+        if len(points) > 1:
+            h = np.diff(self.times)[:, None]
+            slope = np.diff(points, axis=0) / h
+            least = 3 * np.minimum(np.abs(slope[:-1]), np.abs(slope[1:]))
+            bent = np.where(slope[:-1] * slope[1:] <= 0, 0.0, np.clip((slope[:-1] + slope[1:]) / 2, -least, least))
+            tangent = np.concatenate([slope[:1], bent, slope[-1:]])
+            m, w = tangent[:-1], tangent[1:]
+            self.cubics = np.stack([points[:-1], m, (3 * slope - 2 * m - w) / h, (m + w - 2 * slope) / h**2], 1)
+
+    def at(self, tau: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions and velocities; before its first and after its last time the curve stands still."""
+        tau = np.asarray(tau, float)
+        outside = (tau <= self.times[0]) | (tau >= self.times[-1])
+        q = np.where((tau <= self.times[0])[:, None], self.points[0], self.points[-1])
+        v = np.zeros_like(q)
+        if not outside.all():
+            within = tau[~outside]
+            i = np.searchsorted(self.times, within, side="right") - 1
+            u, (a, b, c, d) = (within - self.times[i])[:, None], self.cubics[i].transpose(1, 0, 2)
+            q[~outside], v[~outside] = a + u * (b + u * (c + u * d)), b + u * (2 * c + u * 3 * d)
+        return q, v
+
+
+@dataclass(frozen=True)
+class Playing:
+    """tick: ticks so far. points began at `began` (seconds), what was played before at `earlier_began`, and since tick
+    `pushed` the one blends into the other. motion: see playback.limit_run()."""
+
+    tick: int = 0
+    points: np.ndarray | None = None
+    began: float = 0.0
+    earlier: np.ndarray | None = None
+    earlier_began: float = 0.0
+    pushed: int = 0
+    motion: np.ndarray | None = None
+
+
+def pushed(state: Playing, points: np.ndarray, latency: float, cfg: PlaybackConfig) -> Playing:
+    """The state after a chunk has come that was asked for `latency` seconds ago."""
+    return replace(state, points=points, began=state.tick * cfg.dt - latency, earlier=state.points, earlier_began=state.began, pushed=state.tick)
+
+
+def played(state: Playing, n: int, cfg: PlaybackConfig) -> tuple[Playing, np.ndarray, np.ndarray, np.ndarray]:
+    """The state n ticks later, and their positions, velocities and whether the chunk has then run out. No chunk, no ticks."""
+    if state.points is None or n <= 0:
+        width = 0 if state.points is None else state.points.shape[1]
+        return state, np.zeros((0, width)), np.zeros((0, width)), np.zeros(0, bool)
+    ticks = state.tick + np.arange(n)
+    curve = Curve(state.points, cfg)
+    q, v = curve.at(ticks * cfg.dt - state.began)
+    share = np.clip((ticks - state.pushed) * cfg.dt / cfg.blend, 0.0, 1.0) if cfg.blend > 0 else np.ones(n)
+    if state.earlier is not None and share[0] < 1:
+        weight = (share * share * (3 - 2 * share))[:, None]
+        q0, v0 = Curve(state.earlier, cfg).at(ticks * cfg.dt - state.earlier_began)
+        q, v = q0 + weight * (q - q0), v0 + weight * (v - v0)
+    motion = state.motion
+    if cfg.limits is not None:
+        moved, motion = limit_run(q, v, cfg.limits, cfg.dt, at_rest(q[0]) if motion is None else motion)
+        q, v = moved[:, 0], moved[:, 1]
+    done = (ticks + 1) * cfg.dt - state.began > curve.times[-1]
+    return replace(state, tick=state.tick + n, motion=motion), q, v, done
+
+
+def play(state: Playing, robot: int, rows: pd.DataFrame, cfg: PlaybackConfig) -> tuple[Playing, pd.DataFrame]:
+    """Ticks of rows (seq, chunk, width, latency, ticks): push the flat chunk, if there is one, then play `ticks` ticks."""
     out = []
     for r in rows.sort_values("seq").itertuples():
         if r.chunk is not None and len(r.chunk):
-            player.push(np.asarray(r.chunk, float).reshape(-1, r.width), r.latency)
-        for _ in range(int(r.ticks)):
-            if (found := player.step()) is not None:
-                out.append((robot, player.state["tick"], found[0].tolist(), found[1].tolist(), found[2]))
-    return pd.DataFrame(out, columns=["robot", "tick", "q", "v", "exhausted"])
+            state = pushed(state, np.asarray(r.chunk, float).reshape(-1, r.width), r.latency, cfg)
+        state, q, v, done = played(state, int(r.ticks), cfg)
+        first = state.tick - len(q) + 1
+        out.append(pd.DataFrame({"robot": robot, "tick": np.arange(first, first + len(q)), "q": list(q), "v": list(v), "exhausted": done}))
+    return state, pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=["robot", "tick", "q", "v", "exhausted"])
 
 
 def follow_batch(rows: DataFrame, cfg: PlaybackConfig) -> DataFrame:
-    return rows.groupBy("robot").applyInPandas(lambda key, p: play(Player(cfg), int(key[0]), p), OUT)
+    return rows.groupBy("robot").applyInPandas(lambda key, p: play(Playing(), int(key[0]), p, cfg)[1], OUT)
+
+
+def to_row(s: Playing) -> tuple:
+    flat = lambda x: None if x is None else x.ravel().tolist()
+    return s.tick, 0 if s.points is None else s.points.shape[1], flat(s.points), s.began, flat(s.earlier), s.earlier_began, s.pushed, flat(s.motion)
+
+
+def from_row(r: tuple) -> Playing:
+    tick, width, points, began, earlier, earlier_began, at, motion = r
+    shaped = lambda x: None if x is None else np.asarray(x, float).reshape(-1, width)
+    return Playing(tick, shaped(points), began, shaped(earlier), earlier_began, at, shaped(motion))
 
 
 class FollowerProcessor(StatefulProcessor):
-    """The player as a stateful processor, for transformWithStateInPandas."""
+    """The follower per robot, for transformWithStateInPandas."""
 
     def __init__(self, cfg: PlaybackConfig):
         self.cfg = cfg
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.kept = handle.getValueState("player", "value string")
+        self.kept = handle.getValueState("player", STATE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        player = Player(self.cfg, json.loads(self.kept.get()[0]) if self.kept.exists() else None)
-        yield play(player, int(key[0]), pd.concat(list(rows)))
-        self.kept.update((json.dumps(player.state),))
+        state = from_row(tuple(self.kept.get())) if self.kept.exists() else Playing()
+        state, out = play(state, int(key[0]), pd.concat(list(rows)), self.cfg)  # a robot's rows of one micro-batch, in order
+        yield out
+        self.kept.update(to_row(state))
 
     def close(self) -> None:
         pass

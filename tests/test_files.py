@@ -71,6 +71,20 @@ def test_links_are_idempotent(spark):
     assert rows[0].once.count("](https://") == 5 and rows[2].once.count("](https://") == 2
 
 
+def test_links_of_chains_groups_and_neighbours(spark):
+    u = "https://example.org/"
+    link = lambda x: f"[{x}]({u}{x})"
+    cases = {
+        "paper_001/002/003.": f"{link('paper_001')}, {link('paper_002')}, {link('paper_003')}.",
+        "[paper_001, paper_015, Sec V-A]": f"{link('paper_001')}, {link('paper_015')}, Sec V-A",
+        "(2505.15558), 2403.12945": f"({link('2505.15558')}), {link('2403.12945')}",
+        "12403.12945 and 2403.129456 and 2403.12945.md and [2403.12945": "12403.12945 and 2403.129456 and 2403.12945.md and [2403.12945",
+        "[see paper_001](x) paper_002\nnext [no id] end": f"[see paper_001](x) {link('paper_002')}\nnext [no id] end",
+    }
+    found = spark.createDataFrame([(t,) for t in cases], "t string").withColumn("once", C.linked(F.col("t"))).withColumn("twice", C.linked(F.col("once"))).collect()
+    assert {r.t: r.once for r in found} == cases and all(r.twice == r.once for r in found)
+
+
 def test_matrix_feed_and_replies(spark):
     lines = ["## RQ1 first", "| [paper_001](u) | direct | yes |", "| name | x | y |", "## RQ2", "| paper_002 | weak | no |"]
     rows = spark.createDataFrame([(0, i, t) for i, t in enumerate(lines)], "doc int, line int, text string")

@@ -12,34 +12,79 @@ from framewright.streaming import follower as L
 
 def test_limiter_keeps_its_bounds():
     lim, dt = B.Limits(1.0, 5.0, 50.0), 0.02
-    f = B.Follower(lim, dt, np.zeros(2))
-    before_v, before_a = np.zeros(2), np.zeros(2)
-    for i in range(300):
-        f.step(np.array([np.sign(np.sin(i / 20)), 3.0]), np.zeros(2))
-        assert (np.abs(f.velocity) <= lim.speed + 1e-12).all() and (np.abs(f.acceleration) <= lim.acceleration + 1e-12).all()
-        assert (np.abs(f.acceleration - before_a) <= lim.jerk * dt + 1e-9).all()
-        assert (np.abs(f.velocity - before_v) <= lim.acceleration * dt + 1e-9).all()
-        before_v, before_a = f.velocity, f.acceleration
+    targets = np.stack([[np.sign(np.sin(i / 20)), 3.0] for i in range(300)])
+    moved, last = B.limit_run(targets, np.zeros((300, 2)), lim, dt, B.at_rest(np.zeros(2)))
+    p, v, a = moved.transpose(1, 0, 2)
+    assert (np.abs(v) <= lim.speed + 1e-12).all() and (np.abs(a) <= lim.acceleration + 1e-12).all()
+    assert (np.abs(np.diff(a, axis=0)) <= lim.jerk * dt + 1e-9).all() and (np.abs(np.diff(v, axis=0)) <= lim.acceleration * dt + 1e-9).all()
+    assert np.allclose(np.diff(p, axis=0), v[1:] * dt) and (last == moved[-1]).all()
+    half, state = B.limit_run(targets[:150], np.zeros((150, 2)), lim, dt, B.at_rest(np.zeros(2)))
+    assert (np.concatenate([half, B.limit_run(targets[150:], np.zeros((150, 2)), lim, dt, state)[0]]) == moved).all()
 
 
 def test_curve_hits_its_knots_and_does_not_overshoot():
     points = np.random.default_rng(0).normal(size=(12, 3))
-    c = L.timed_curve(points, L.PlaybackConfig())
-    for i, t in enumerate(c["times"]):
-        assert np.allclose(L.at(c, t)[0], points[i])
-    for a, b, p, q in zip(c["times"], c["times"][1:], points, points[1:]):
-        for t in np.linspace(a, b, 7):
-            assert (L.at(c, t)[0] >= np.minimum(p, q) - 1e-9).all() and (L.at(c, t)[0] <= np.maximum(p, q) + 1e-9).all()
-    assert np.allclose(L.at(c, -1)[0], points[0]) and not L.at(c, 1e9)[1].any()
-
-
-def test_blend_is_continuous():
-    player = L.Player(L.PlaybackConfig())
-    player.push(np.linspace(0, 1, 10)[:, None])
-    out = [player.step()[0][0] for _ in range(20)]
-    player.push(np.linspace(out[-1] + 0.3, 2, 10)[:, None], 0.02)
-    out += [player.step()[0][0] for _ in range(20)]
-    assert np.abs(np.diff(out)).max() < 0.1
+    c = L.Curve(points, L.PlaybackConfig())
+    assert np.allclose(c.at(c.times)[0], points)
+    for a, b, p, q in zip(c.times, c.times[1:], points, points[1:]):
+        found = c.at(np.linspace(a, b, 7))[0]
+        assert (found >= np.minimum(p, q) - 1e-9).all() and (found <= np.maximum(p, q) + 1e-9).all()
+    assert np.allclose(c.at([-1.0])[0], points[0]) and not c.at([1e9])[1].any()
+    middle = (c.times[1:] + c.times[:-1]) / 2
+    assert np.allclose(c.at(middle)[1], (c.at(middle + 1e-6)[0] - c.at(middle - 1e-6)[0]) / 2e-6, atol=1e-4)
+    assert L.Curve(points[:1], L.PlaybackConfig()).at([0.0, 5.0])[0].tolist() == [points[0].tolist()] * 2
+
+
+def test_blend_is_continuous_and_ticks_may_be_cut_anywhere():
+    cfg = L.PlaybackConfig(limits=B.Limits(2.0, 20.0, 400.0))
+    for cfg in (L.PlaybackConfig(), cfg):
+        runs = []
+        for parts in ([20], [1] * 20, [7, 13]):
+            state, out = L.pushed(L.Playing(), np.linspace(0, 1, 10)[:, None], 0.0, cfg), []
+            for again in range(2):
+                for n in parts:
+                    state, q, *_ = L.played(L.from_row(L.to_row(state)), n, cfg)
+                    out += q[:, 0].tolist()
+                if not again:
+                    state = L.pushed(state, np.linspace(out[-1] + 0.3, 2, 10)[:, None], 0.02, cfg)
+            runs.append(out)
+        assert np.allclose(runs[0], runs[1]) and np.allclose(runs[0], runs[2]) and np.abs(np.diff(runs[0])).max() < 0.1
+    assert len(L.played(L.Playing(), 5, cfg)[1]) == 0
+
+
+def junctions_by_force(points, speed, acceleration, margin):
+    """The rule, point by point: ceilings along the way out, the turn, and what each segment can build up or shed."""
+    n, dims = len(points), range(len(speed))
+    length = [math.dist(a, b) for a, b in zip(points, points[1:])]
+    way = [None] * n
+    for i in range(1, n - 1):
+        if length[i - 1] >= 1e-9 and length[i] >= 1e-9:
+            way[i] = [(points[i + 1][k] - points[i][k]) / length[i] for k in dims]
+    most = lambda limit, w: min(limit[k] / abs(w[k]) for k in dims if abs(w[k]) > 1e-9)
+    push = [most(acceleration, w) if w else min(acceleration) for w in way]
+    v = [0.0] * n
+    for i in range(1, n - 1):
+        if way[i]:
+            before = [(points[i][k] - points[i - 1][k]) / length[i - 1] for k in dims]
+            angle = math.acos(max(-1.0, min(1.0, sum(a * b for a, b in zip(before, way[i])))))
+            v[i] = most(speed, way[i])
+            if 2 * math.sin(angle / 2) > 1e-6:
+                v[i] = min(v[i], math.sqrt(push[i] * min(length[i - 1], length[i]) / (2 * math.sin(angle / 2))))
+    for order, step in ((range(1, n), -1), (range(n - 2, -1, -1), 1)):
+        for i in order:
+            j = i + step
+            v[i] = min(v[i], math.sqrt(v[j] ** 2 + 2 * min(push[i], push[j]) * length[min(i, j)]))
+    return [[margin * v[i] * w for w in way[i]] if way[i] else [0.0] * len(speed) for i in range(n)]
+
+
+def test_junction_velocities_by_force():
+    rng = np.random.default_rng(2)
+    straight = np.outer(np.arange(30.0), [0.1, 0.2, 0.0])
+    still = np.repeat(rng.normal(size=(6, 3)), 3, 0)
+    speed, acceleration = np.array([1.0, 2.0, 0.5]), np.array([2.0, 9.0, 1.0])
+    for points in (rng.normal(size=(60, 3)).cumsum(0) / 20, straight, still, np.concatenate([straight, straight[::-1]]), straight[:2], straight[:1]):
+        found = B.junction_velocities(points, speed, acceleration)
+        assert np.allclose(found, junctions_by_force(points.tolist(), speed.tolist(), acceleration.tolist(), 0.25), atol=1e-9)
 
 
 def test_tip_of_a_planar_arm():
@@ -50,6 +95,17 @@ def test_tip_of_a_planar_arm():
     assert np.allclose(K.from_euler(0, 0, math.pi / 2) @ [1, 0, 0], [0, 1, 0]) and np.allclose(K.from_euler(math.pi / 2, 0, 0) @ [0, 1, 0], [0, 0, 1])
 
 
+def test_tip_column_defines_nulls(spark):
+    from pyspark.sql import functions as F
+
+    arm = [K.Joint("a", (0, 0, 0), (0, 0, 0), (0, 0, 1)), K.Joint("t", (1.0, 0, 0), (0, 0, math.pi / 2), None), K.Joint("b", (1.0, 0, 0), (0, 0, 0), (0, 1, 0)), K.Joint("e", (0, 0, 2.0), (0, 0, 0), None)]
+    rows = spark.createDataFrame([(0, [0.0, 0.0]), (1, None), (2, [math.pi / 2]), (3, [None, math.pi / 2, 9.0])], "i int, q array<double>")
+    found = {r.i: r.p for r in rows.select("i", K.tip_position(arm, F.col("q")).alias("p")).collect()}
+    assert found[1] is None
+    for i, want in ((0, [1, 1, 2]), (2, [-1, 1, 2]), (3, [1, 3, 0])):
+        assert np.allclose(found[i], want)
+
+
 def test_chain_from_urdf(spark, tmp_path):
     from framewright.sources.files import urdf_joints
 
@@ -74,13 +130,6 @@ def test_greedy_prefix_and_spline():
     assert np.allclose(B.spline_basis(np.arange(20.0), np.concatenate([np.zeros(4), [5, 9], np.full(4, 19.0)])).sum(1), 1)
 
 
-def test_corner_speeds_are_reachable():
-    path = np.random.default_rng(2).normal(size=(40, 3))
-    v = B.corner_speeds(path, 1.0, 2.0, margin=1.0)
-    d = np.linalg.norm(np.diff(path, axis=0), axis=1)
-    assert v[0] == v[-1] == 0 and (np.abs(np.diff(v**2)) <= 2 * 2.0 * d + 1e-9).all() and v.max() <= 1.0
-
-
 def test_pchip_reconstruction_hits_keypoints(spark):
     from pyspark.sql import functions as F
 
