@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..functions.ranks import quantiles
 from .progress import by_episode, in_order
 
 
@@ -99,8 +100,8 @@ def norm_stats(frames: DataFrame, scheme: str = "quantile", pinned: tuple[int, .
     """Per dimension mean, std, q01, q99 (or min and max), pinned dimensions from 0 to 1, and the largest normalised
     value (2 (x - q01) / (span + 1e-6) - 1)."""
     x = long_form(frames, vector)
-    low, high = (F.min("x"), F.max("x")) if scheme == "minmax" else (F.percentile("x", F.lit(0.01)), F.percentile("x", F.lit(0.99)))
-    s = x.groupBy("dim").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), low.alias("q01"), high.alias("q99"), F.min("x").alias("min"), F.max("x").alias("max"))
+    s = x.groupBy("dim").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"))
+    s = s.withColumns({"q01": F.col("min"), "q99": F.col("max")}) if scheme == "minmax" else s.join(quantiles(x, "dim", "x", {"q01": 0.01, "q99": 0.99}), "dim")
     fixed = F.col("dim").isin(list(pinned)) if pinned else F.lit(False)
     s = s.withColumn("q01", F.when(fixed, 0.0).otherwise(F.col("q01"))).withColumn("q99", F.when(fixed, 1.0).otherwise(F.col("q99")))
     scaled = lambda c: F.abs(2 * (F.col(c) - F.col("q01")) / (F.col("q99") - F.col("q01") + 1e-6) - 1)
@@ -185,8 +186,10 @@ def largest_difference(stored: DataFrame, computed: DataFrame, keys: list[str],
 
 def spread(steps: DataFrame, by: list[str], column: str = "step") -> DataFrame:
     """Per group: count, mean, p05, p50, p95 and coefficient of variation of the steps that aren't zero (of all, if all are)."""
-    moving = F.max(F.when(F.col(column) > 0, 1).otherwise(0)).over(Window.partitionBy(*by)) if by else F.max(F.when(F.col(column) > 0, 1).otherwise(0)).over(Window.partitionBy(F.lit(0)))
-    x = steps.withColumn("_m", moving).where((F.col("_m") == 0) | (F.col(column) > 0))
+    moving = F.max(F.when(F.col(column) > 0, 1).otherwise(0))
+    # Of all rows: one row beside them. By group: as wide as the group, which is an episode or the like.
+    x = steps.withColumn("_m", moving.over(Window.partitionBy(*by))) if by else steps.crossJoin(F.broadcast(steps.agg(moving.alias("_m"))))
+    x = x.where((F.col("_m") == 0) | (F.col(column) > 0))
     p = lambda q: F.percentile(column, F.lit(q))
     return x.groupBy(*by).agg(F.count(column).alias("n"), F.avg(column).alias("mean"), p(0.05).alias("p05"), p(0.5).alias("p50"), p(0.95).alias("p95"), (F.stddev_pop(column) / F.avg(column)).alias("cv"))
 
@@ -206,7 +209,7 @@ def roughness(frames: DataFrame) -> DataFrame:
 def speed_ceilings(frames: DataFrame, quantile: float = 0.99, floor: float = 0.25, fps: float = 30.0) -> DataFrame:
     """Per dimension the quantile of its speed, at least floor times the median of the dimensions that move."""
     x = frames.withColumn("v", F.transform(V.minus(F.lead("q").over(in_order()), F.col("q")), lambda d: F.abs(d) * fps))
-    seen = x.select(F.posexplode("v").alias("dim", "v")).groupBy("dim").agg(F.percentile("v", F.lit(quantile)).alias("seen"))
+    seen = quantiles(x.select(F.posexplode("v").alias("dim", "v")), "dim", "v", {"seen": quantile})
     low = seen.where("seen > 1e-2").agg(F.coalesce(floor * F.median("seen"), F.lit(0.1)).alias("floor"))
     return seen.join(F.broadcast(low)).select("dim", "seen", F.greatest("seen", "floor").alias("ceiling"), (F.col("seen") < F.col("floor")).alias("raised"))
 

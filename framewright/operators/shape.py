@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..functions.ranks import running_sum
 from .progress import by_episode, in_order, knots, located, on_grid, up_to_here
 
 
@@ -44,11 +45,9 @@ def path_tortuosity_table(shape: DataFrame, path_edges: list[float], tau_edges:
 
 def auc(rows: DataFrame, score: str, positive: str) -> DataFrame:
     """One row with the area under the ROC curve; tied scores share their rank. Scores are counted before they are
-    ranked, so what is sorted is one row per distinct score."""
+    ranked, and ranked in ranges, so no task holds them all."""
     x = rows.groupBy(score).agg(F.count_if(F.col(positive)).alias("p"), F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(F.lit(0)).orderBy(score)
-    below = F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    x = x.withColumn("rank", below + (F.col("n") + 1) / 2)
+    x = running_sum(x, [score], "n", "below").withColumn("rank", F.col("below") + (F.col("n") + 1) / 2)
     pos, neg = F.sum("p"), F.sum(F.col("n") - F.col("p"))
     return x.agg(F.when((pos > 0) & (neg > 0), (F.sum(F.col("rank") * F.col("p")) - pos * (pos + 1) / 2) / (pos * neg)).alias("auc"))
 

@@ -48,7 +48,7 @@ def episode_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.decide(D.audit(R.user_recordings(spark, sf_dir)))
 
 
-_BUILT = f"""{S.SUPPLIERS}, {_AUDIT}, {_DECIDE}, {_STILL},
+_BUILT = f"""{S.SUPPLIERS.replace("f AS (", "f AS MATERIALIZED (", 1)}, {_AUDIT}, {_DECIDE}, {_STILL},
 kept AS (SELECT episode, greatest(still - 15, 0) AS start, frames - greatest(still - 15, 0) AS frames FROM decided JOIN still USING (episode) WHERE keep),
 num AS (SELECT *, row_number() OVER (ORDER BY episode) - 1 AS new_index, coalesce(sum(frames) OVER (ORDER BY episode ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM kept)"""
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import playback as B
-from ..sources.files import scratch
+from ..sources.files import scratch, shared_folder
 from ..streaming import follower as L
 from .playback_queries import _chunk_rows
 
@@ -61,12 +61,17 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
 
 
 def _drained(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
-    name = f"drained_{uuid.uuid4().hex}"
-    running = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    """All that a stream gives until it has seen its source, written to the shared folder batch by batch."""
+    path = f"{shared_folder(spark)}/drained/{uuid.uuid4().hex}"
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows/{'all' if mode == 'complete' else f'batch-{number}'}")
+
+    running = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     running.awaitTermination()
     if running.exception():
         raise running.exception()
-    return spark.table(name)
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", True).parquet(f"{path}/rows")
 
 
 def streamed_follower(spark: SparkSession, sf_dir: str) -> DataFrame:

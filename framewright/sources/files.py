@@ -13,16 +13,20 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def scratch(df: DataFrame, label: str) -> DataFrame:
-    """Write a table to the folder of spark.checkpoint.dir (on a local master one of its own) and read it back."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; on a local master without one, a fresh folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="framewright-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/scratch/{label}-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def scratch(df: DataFrame, label: str) -> DataFrame:
+    """Write a table to the shared folder and read it back."""
+    spark, path = df.sparkSession, f"{shared_folder(df.sparkSession)}/scratch/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -39,6 +43,59 @@ def write_episodes(frames: DataFrame, path: str) -> None:
     frames.repartition("episode").sortWithinPartitions("episode", "frame").write.mode("overwrite").partitionBy("episode").parquet(path)
 
 
+def write_files(files: DataFrame, folder: str) -> DataFrame:
+    """Write (name, content) rows as files of a shared folder; returns (name, length), a written table.
+
+    A file is written beside its place and then moved there, so a repeated task replaces it by the same.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        where, path = fs.FileSystem.from_uri(folder) if ":" in folder else (fs.LocalFileSystem(), folder)
+        for batch in batches:
+            for name, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                where.create_dir(f"{path}/{name}".rpartition("/")[0], recursive=True)
+                beside = f"{path}/{name}.{uuid.uuid4().hex}"
+                with where.open_output_stream(beside, compression=None) as out:
+                    out.write(content)
+                where.move(beside, f"{path}/{name}")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(c) for c in batch.column(1).to_pylist()], pa.int64())], names=["name", "length"])
+
+    return scratch(files.select("name", F.col("content").cast("binary").alias("content")).mapInArrow(write, "name string, length long"), "written-files")
+
+
+def episode_contents(frames: DataFrame) -> DataFrame:
+    """(name, content): a Parquet file for each episode, its frames in order."""
+
+    def make(rows):
+        out = io.BytesIO()
+        rows.sort_values("frame").drop(columns="episode").to_parquet(out, index=False)
+        import pandas as pd
+
+        return pd.DataFrame({"name": [f"episode_{int(rows['episode'].iloc[0]):06d}.parquet"], "content": [out.getvalue()]})
+
+    return frames.groupBy("episode").applyInPandas(make, "name string, content binary")
+
+
+def tar_contents(files: DataFrame, per_tar: int = 16) -> DataFrame:
+    """(name, content): tars of some per_tar files each, dealt by a hash of the name."""
+
+    def make(rows):
+        import pandas as pd
+
+        out = io.BytesIO()
+        with tarfile.open(fileobj=out, mode="w") as tar:
+            for r in rows.sort_values("name").itertuples():
+                member = tarfile.TarInfo(r.name)
+                member.size = len(r.content)
+                tar.addfile(member, io.BytesIO(r.content))
+        return pd.DataFrame({"name": [f"part-{int(rows['tar'].iloc[0]):05d}.tar"], "content": [out.getvalue()]})
+
+    tars = max(1, -(-files.count() // per_tar))
+    return files.withColumn("tar", F.pmod(F.xxhash64("name"), F.lit(tars))).groupBy("tar").applyInPandas(make, "name string, content binary")
+
+
 def tar_episodes(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of the episode_*.parquet members of tar files, with `episode` from the member's name; one task per tar."""
 
