@@ -17,12 +17,20 @@ from framewright.llm.quality_rules import quality_rules
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep, with all their columns; see quality_rules().
+
+    Null and empty texts have no words and go. Rows with a null or repeated doc_id are judged one by one; a null lang adds
+    to no reference. An empty table gives an empty table.
+    """
     return quality_rules(docs).where("kept").select("doc.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that an earlier document has; n_chars follows the text."""
+    """Documents without the lines that an earlier document has; n_chars follows the text; see drop_repeated_lines().
+
+    A text that loses nothing stays as it is, null included. Rows that share a doc_id are one document, and one without
+    a doc_id neither loses nor takes lines. An empty table gives an empty table.
+    """
     out = drop_repeated_lines(docs)
     text = F.when(F.col("n_dropped") > 0, F.col("kept_text")).otherwise(F.col("doc.text"))
     columns = [F.col(f"doc.{c}").alias(c) for c in docs.columns]
@@ -31,17 +39,29 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class."""
+    """One document of each near-duplicate class, that of the smallest doc_id; see one_of_each().
+
+    A null doc_id counts as the largest. Texts without words stay, those of equal doc_id and text once. An empty table
+    gives an empty table.
+    """
     return one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated by the benchmark."""
+    """Documents that are not contaminated by the benchmark, with all their columns; see benchmark_hits().
+
+    Null texts, and all texts if the benchmark has no words, are clean. Rows with a null or repeated doc_id are judged
+    by their texts. An empty table gives an empty table.
+    """
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of packed sequences."""
+    """The pieces of packed sequences; see pack_documents().
+
+    A null text is empty and has one id. Rows with a null or repeated doc_id are packed each by itself. An empty table
+    gives no rows.
+    """
     import public_tokenizers
 
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
