@@ -1,11 +1,14 @@
 """The pipeline, stage by stage, each judged on its own input by brute force; and queries against SQL."""
 
+from collections import Counter
+
 import duckdb
 import pytest
 
 from framewright.llm import queries
 from framewright.llm.common import materialize
 
+from .fixtures import documents
 from . import test_dedup, test_models, test_native
 
 SF = "/root/testdata/sf0.001"
@@ -62,6 +65,26 @@ def test_packing(stages):
     test_models.whole(stages[5][1].collect(), rows(stages[4][1]), Encoder(public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def test_stages_on_edge_cases(spark, tmp_path):
+    """Nulls in any column, empty and long texts, ties, repeated rows and clashing columns through every stage; then nothing."""
+    import corpus_pipeline
+
+    items = spark.createDataFrame(test_native.ITEMS, "item_id long, text string")
+    items.write.parquet(str(tmp_path / "benchmark.parquet"))
+    texts = Counter((r[0], r[1]) for r in documents(spark).select("doc_id", "text").collect())
+    docs = documents(spark)
+    for name, stage in corpus_pipeline.STAGES:
+        every = stage(spark, documents(spark), str(tmp_path))
+        assert name == "packing" or every.columns == docs.columns
+        if name not in ("line_dedup", "packing"):
+            assert not Counter((r.doc_id, r.text) for r in every.select("doc_id", "text").collect()) - texts
+        elif name == "line_dedup":
+            assert every.count() == docs.count()
+        else:
+            assert {r[0] for r in every.select("doc_id").distinct().collect()} == {d for d, _ in texts}
+        assert stage(spark, documents(spark, []), str(tmp_path)).count() == 0
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_against_sql(spark, name):
     con = duckdb.connect()
