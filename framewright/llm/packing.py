@@ -28,9 +28,10 @@ SHARD_DOCS, SHARD_TOKENS = 2048, 2_000_000
 #: BM25's constants, and the share of a shard's documents from which on a term's weights are held as a dense row.
 K1, B, COMMON = 1.2, 0.75, 0.05
 
-# The byte-to-character table and the word pattern of byte-level BPE.
+# The byte-to-character table and the word pattern of byte-level BPE, in the possessive form that tiktoken
+# publishes for it, which splits alike without backtracking.
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 
 
 class Encoder:
@@ -105,6 +106,10 @@ class Shard:
 
     def neighbours(self, seed: int) -> np.ndarray:
         """Unused documents that share any term with the seed, best first, ties by position."""
+        return np.fromiter(best_first(*self.scores(seed)), np.int64)
+
+    def scores(self, seed: int) -> tuple[np.ndarray, np.ndarray]:
+        """Those documents in order of position, and their scores."""
         left = self.unused[self.columns]
         if 4 * left.sum() < 3 * len(left):  # columns of used documents go
             self.dense, self.columns = np.compress(left, self.dense, 1), self.columns[left]
@@ -114,7 +119,17 @@ class Shard:
         if spans := [slice(self.first[t], self.first[t + 1]) for t in self.queries[seed][row < 0]]:
             score += np.bincount(np.concatenate([self.owner[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), len(score))
         found = np.flatnonzero((score > 0) & self.unused)
-        return found[np.argsort(-score[found], kind="stable")]
+        return found, score[found]
+
+
+def best_first(found: np.ndarray, score: np.ndarray) -> Iterator[int]:
+    """All of found by score, the best first, ties in their order. Sorted piece by piece, as a window asks for few."""
+    size = 16
+    while len(found) > size:
+        top = score >= np.partition(score, -size)[-size]
+        yield from found[top][np.argsort(-score[top], kind="stable")].tolist()
+        found, score, size = found[~top], score[~top], 4 * size
+    yield from found[np.argsort(-score, kind="stable")].tolist()
 
 
 def pack_shard(docs: list[np.ndarray], known: Statistics | None = None) -> list[list[tuple[int, int, int]]]:
@@ -125,7 +140,7 @@ def pack_shard(docs: list[np.ndarray], known: Statistics | None = None) -> list[
     room, fresh, upcoming = WINDOW, 0, iter(())
     while True:
         # the next document: the best unused neighbour of the window's seed, or the next unused one
-        doc = next((int(d) for d in upcoming if shard.unused[d]), None)
+        doc = next((d for d in upcoming if shard.unused[d]), None)
         if doc is None:
             while fresh < len(docs) and not shard.unused[fresh]:
                 fresh += 1
@@ -136,7 +151,7 @@ def pack_shard(docs: list[np.ndarray], known: Statistics | None = None) -> list[
         start = 0
         while start < lengths[doc]:
             if room == WINDOW:  # this document seeds the window
-                upcoming = iter(()) if lengths[doc] - start >= WINDOW else iter(shard.neighbours(doc))
+                upcoming = iter(()) if lengths[doc] - start >= WINDOW else best_first(*shard.scores(doc))
             size = min(room, lengths[doc] - start)
             window.append((doc, start, size))
             start, room = start + size, room - size
@@ -179,7 +194,13 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
 
 def decoded(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
     for wide, ids in zip(batch.column("wide").to_pylist(), batch.column("ids"), strict=True):
-        yield np.frombuffer(ids.as_buffer(), "<u4" if wide else "<u2").astype("<u4")
+        yield np.frombuffer(ids.as_buffer(), "<u4" if wide else "<u2")
+
+
+def distinct(ids: np.ndarray) -> np.ndarray:
+    """The different ids, ascending. Two-byte ids stay so, as they sort several times as fast."""
+    ids = np.sort(ids)
+    return ids[np.append(True, ids[1:] != ids[:-1])]
 
 
 def statistics(rows: DataFrame) -> Statistics:
@@ -190,7 +211,7 @@ def statistics(rows: DataFrame) -> Statistics:
         for batch in batches:
             docs = list(decoded(batch))
             n, total = n + len(docs), total + sum(map(len, docs))
-            own = [np.unique(d) for d in docs]
+            own = [distinct(d) for d in docs]
             if own:
                 new = np.bincount(np.concatenate(own), minlength=len(df))
                 new[: len(df)] += df
@@ -239,7 +260,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFram
 
         for batch in batches:
             for doc_id, own in zip(batch.column("doc_id"), decoded(batch), strict=True):
-                tokens.append(own)
+                tokens.append(own.astype("<u4"))
                 ids.append(doc_id.as_py())
                 total += len(tokens[-1])
                 if len(tokens) >= SHARD_DOCS or total >= SHARD_TOKENS:
