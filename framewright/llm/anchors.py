@@ -10,17 +10,20 @@ that share an anchor with a different block. So nothing is missed, and a text of
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucketed, tidy
+from .common import bucketed, hot_keys, tidy
 
 #: Multiplier of the rolling hash (odd, so it has an inverse), that of a span's size, and symbols handled at once.
 BASE, SIZED, PIECE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 1 << 20
 WORDS_KEPT = 250_000
+#: Over how many copies of a hot source its spans are dealt.
+SALTS = 16
 BLOCK = "row long, d long, a long, b long, s0 int, nw int, off int, rep int"
 
 
@@ -200,10 +203,11 @@ def _cut(z: bytes, words: bool):
     return lambda start, size: b" ".join(split[start : start + size])
 
 
-def claims_of(spans: DataFrame, texts: DataFrame, words: bool) -> DataFrame:
+def claims_of(spans: DataFrame, texts: list[DataFrame], words: bool) -> DataFrame:
     """CLAIM rows: each span with what its source has there. Spans with a src below 0 need no proof and get null.
 
-    The join is by source; a source of many spans is split at run time, as both sides are plain.
+    spans is a written table. Spans move to the tables of texts, which stay where they lie. A hot source, one of many
+    spans, is copied SALTS times and its spans are dealt over the copies by their rows.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,7 +223,17 @@ def claims_of(spans: DataFrame, texts: DataFrame, words: bool) -> DataFrame:
                 yield _columns(CLAIM, [*columns[:5], body])
 
     names = [x.split()[0] for x in SPAN.split(", ")]
-    proved = spans.where("src >= 0").join(texts.select(F.col("row").alias("src"), "z"), "src").select(*names, "z").mapInArrow(tidy(cut), CLAIM)
+    proved = spans.where("src >= 0")
+    sources = [own.select(F.col("row").alias("src"), "z") for own in texts]
+    keys = hot_keys(proved, "src")
+    hot = F.broadcast(keys)
+    joined = [proved.join(hot, "src", "left_anti").join(own, "src").select(*names, "z") for own in sources]
+    if not keys.isEmpty():
+        dealt = proved.join(hot, "src", "left_semi").withColumn("salt", F.pmod(F.hash("row"), F.lit(SALTS)))
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+        copies = [own.join(hot, "src", "left_semi").select("src", "z", salts) for own in sources]
+        joined.append(dealt.join(reduce(DataFrame.unionByName, copies), ["src", "salt"]).select(*names, "z"))
+    proved = reduce(DataFrame.unionByName, joined).mapInArrow(tidy(cut), CLAIM)
     return proved.unionByName(spans.where("src < 0").select(*names[:5], F.lit(None).cast("binary").alias("body")))
 
 

@@ -17,6 +17,7 @@ next batch is joined, and the old ones are deleted.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -62,22 +63,19 @@ class FingerprintIndex:
         old = F.get("old", F.lit(0))
         return df.withColumns({"known": old.isNotNull(), "src": F.coalesce(old, F.when(F.col("first.d") < F.col("last_d"), F.col("first")))}).drop("old")
 
-    def _history(self) -> DataFrame:
-        out = self.texts[0]
-        for more in self.texts[1:]:
-            out = out.unionByName(more)
-        return out
-
     def compact(self) -> None:
-        """Merge the runs of each kind into one and delete them. A fingerprint is in one run, that of its first place."""
+        """Merge-join the runs of each kind into one, bucket by bucket and so without moving them, and delete them. A
+        fingerprint is in one run, that of its first place; an anchor's numbers of blocks are added up."""
         for kind, keys in KINDS.items():
-            both = None
+            merged = None
             for run in self.runs[kind]:
                 own = (run.where("NOT known") if "known" in run.columns else run).select(*keys, "first", *(["n"] if kind == "anchors" else []))
-                both = own if both is None else both.unionByName(own)
-            if kind == "anchors":
-                both = both.groupBy("a").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
-            merged = bucketed(both, keys, f"compacted-{kind}", self.buckets)
+                if merged is not None:
+                    both = merged.join(own.withColumnsRenamed({"first": "first1", "n": "n1"}), keys, "full_outer")
+                    n = [(F.coalesce("n", F.lit(0)) + F.coalesce("n1", F.lit(0))).alias("n")] if kind == "anchors" else []
+                    own = both.select(*keys, F.least("first", "first1").alias("first"), *n)
+                merged = own
+            merged = bucketed(merged, keys, f"compacted-{kind}", self.buckets, lies_so=True)
             discard(*self.runs[kind])
             self.runs[kind] = [merged]
 
@@ -106,7 +104,7 @@ class FingerprintIndex:
         found = marks.where("covered").select("row", "s0", "nw", "rep", F.col("src.row").alias("src"), F.col("src.s0").alias("src0"))
         found = found.unionByName(self._windows(texts, marks.where("NOT covered"), alone))
         spans = materialize(spans_of(found, self.length), "spans")
-        claims = materialize(claims_of(spans, self._history(), words=True), "claims")
+        claims = materialize(claims_of(spans, self.texts, words=True), "claims")
         self.runs["blocks"].append(blocks)
         self.runs["anchors"].append(anchors)
         discard(rows, mixed, flagged, marks, spans)
@@ -124,8 +122,8 @@ class FingerprintIndex:
     def _windows(self, texts: DataFrame, marks: DataFrame, alone: DataFrame | None) -> DataFrame:
         """Marks of the repeated windows of blocks that share an anchor with a different one; their hashes become a run."""
         spread = marks.select("row", "d", "a", "s0", (F.col("nw") * F.col("rep")).alias("nw"))
-        own = materialize(window_hashes(texts, spread, self.length), "windows")
-        late = None if alone is None else materialize(window_hashes(self._history(), alone.select("row", "d", "a", "s0", "nw"), self.length), "late-windows")
+        own = materialize(window_hashes([texts], spread, self.length), "windows")
+        late = None if alone is None else materialize(window_hashes(self.texts, alone.select("row", "d", "a", "s0", "nw"), self.length), "late-windows")
         every = own if late is None else own.unionByName(late)
         firsts = every.groupBy("h", "a").agg(F.min(F.struct("d", "row", "s")).alias("first"), F.max("d").alias("last_d"))
         firsts = bucketed(self._first(firsts, "windows"), KINDS["windows"], "windows", self.buckets, lies_so=True)
@@ -137,8 +135,9 @@ class FingerprintIndex:
         return found
 
 
-def window_hashes(texts: DataFrame, marks: DataFrame, length: int) -> DataFrame:
-    """WINDOW rows: the hash of every window of the marked blocks (row, d, a, s0, nw), with its anchor."""
+def window_hashes(texts: list[DataFrame], marks: DataFrame, length: int) -> DataFrame:
+    """WINDOW rows: the hash of every window of the marked blocks (row, d, a, s0, nw), with its anchor. The marks move to
+    the bucketed texts, which stay where they lie."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -153,8 +152,9 @@ def window_hashes(texts: DataFrame, marks: DataFrame, length: int) -> DataFrame:
                 h = sums.spans(s, np.full(len(s), length)).view(np.int64)
                 yield _columns(WINDOW, [h, a, np.full(len(s), d), np.full(len(s), row), s])
 
-    lists = marks.groupBy("row", "d").agg(F.collect_list(F.struct("a", "s0", "nw")).alias("marks"))
-    return texts.select("row", "z").join(lists, "row").select("row", "d", "z", "marks").mapInArrow(tidy(find), WINDOW)
+    lists = marks.groupBy("row").agg(F.min("d").alias("d"), F.collect_list(F.struct("a", "s0", "nw")).alias("marks"))
+    joined = [own.select("row", "z").join(lists, "row").select("row", "d", "z", "marks") for own in texts]
+    return reduce(DataFrame.unionByName, joined).mapInArrow(tidy(find), WINDOW)
 
 
 def drop_repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: int = BATCHES) -> DataFrame:

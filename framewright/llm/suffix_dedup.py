@@ -169,6 +169,6 @@ def drop_repeated_substrings(docs: DataFrame, length: int = LENGTH, gram: int =
     whole = marks.where("covered").select("row", "s0", "nw", "rep", src.alias("src"), F.when(twins, F.col("src.s0")).otherwise(F.col("s0")).alias("src0"))
     spans = materialize(spans_of(whole, length), "spans")
     sorted_spans = repeated.select("row", "start", "size", F.lit(1).alias("rep"), F.lit(1).alias("step"), F.lit(-1).cast("long").alias("src"), F.col("start").alias("src_start"))
-    claims = materialize(claims_of(spans.unionByName(sorted_spans), texts, words=False), "claims")
+    claims = materialize(claims_of(spans.unionByName(sorted_spans), [texts], words=False), "claims")
     discard(marks, spans, repeated)
     return removed(texts, claims, words=False).withColumnRenamed("n", "n_bytes")
