@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucketed, hot_keys, tidy
+from .common import bucketed, hot_keys, hot_list, tidy
 
 #: Multiplier of the rolling hash (odd, so it has an inverse), that of a span's size, and symbols handled at once.
 BASE, SIZED, PIECE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 1 << 20
@@ -225,14 +225,15 @@ def claims_of(spans: DataFrame, texts: list[DataFrame], words: bool) -> DataFram
     names = [x.split()[0] for x in SPAN.split(", ")]
     proved = spans.where("src >= 0")
     sources = [own.select(F.col("row").alias("src"), "z") for own in texts]
-    keys = hot_keys(proved, "src")
-    hot = F.broadcast(keys)
-    joined = [proved.join(hot, "src", "left_anti").join(own, "src").select(*names, "z") for own in sources]
-    if not keys.isEmpty():
+    joined, found = [], hot_list(proved, "src")
+    if found:
+        hot = F.broadcast(hot_keys(proved, "src", found))
         dealt = proved.join(hot, "src", "left_semi").withColumn("salt", F.pmod(F.hash("row"), F.lit(SALTS)))
         salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
         copies = [own.join(hot, "src", "left_semi").select("src", "z", salts) for own in sources]
         joined.append(dealt.join(reduce(DataFrame.unionByName, copies), ["src", "salt"]).select(*names, "z"))
+        proved = proved.join(hot, "src", "left_anti")
+    joined += [proved.join(own, "src").select(*names, "z") for own in sources]
     proved = reduce(DataFrame.unionByName, joined).mapInArrow(tidy(cut), CLAIM)
     return proved.unionByName(spans.where("src < 0").select(*names[:5], F.lit(None).cast("binary").alias("body")))
 

@@ -75,7 +75,7 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-def hot_keys(df: DataFrame, key: str) -> DataFrame:
+def hot_list(df: DataFrame, key: str) -> list:
     """Keys that hold more than 1/2000 of the rows (and 200 rows), or MOST_COLD_ROWS, by a fixed-size frequent-item sketch.
 
     The result has at most MOST_HOT_KEYS rows, whatever the input, so it may be broadcast. It only routes rows
@@ -83,8 +83,13 @@ def hot_keys(df: DataFrame, key: str) -> DataFrame:
     """
     row = df.agg(F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k({key}, {MOST_HOT_KEYS}, {TRACKED_KEYS})").alias("top")).first()
     least = min(MOST_COLD_ROWS, max(200, (row["n"] or 0) // 2000))
-    found = [(x["item"],) for x in row["top"] or [] if x["count"] >= least and x["item"] is not None]
-    return df.sparkSession.createDataFrame(found, f"{key} {df.schema[key].dataType.simpleString()}")
+    return [x["item"] for x in row["top"] or [] if x["count"] >= least and x["item"] is not None]
+
+
+def hot_keys(df: DataFrame, key: str, found: list | None = None) -> DataFrame:
+    """hot_list() as a table, or `found` if that is known."""
+    found = hot_list(df, key) if found is None else found
+    return df.sparkSession.createDataFrame([(x,) for x in found], f"{key} {df.schema[key].dataType.simpleString()}")
 
 
 def split_hot(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:

@@ -123,7 +123,7 @@ class FingerprintIndex:
         """Marks of the repeated windows of blocks that share an anchor with a different one; their hashes become a run."""
         spread = marks.select("row", "d", "a", "s0", (F.col("nw") * F.col("rep")).alias("nw"))
         own = materialize(window_hashes([texts], spread, self.length), "windows")
-        late = None if alone is None else materialize(window_hashes(self.texts, alone.select("row", "d", "a", "s0", "nw"), self.length), "late-windows")
+        late = None if alone is None else materialize(window_hashes(self.texts[:-1], alone.select("row", "d", "a", "s0", "nw"), self.length), "late-windows")
         every = own if late is None else own.unionByName(late)
         firsts = every.groupBy("h", "a").agg(F.min(F.struct("d", "row", "s")).alias("first"), F.max("d").alias("last_d"))
         firsts = bucketed(self._first(firsts, "windows"), KINDS["windows"], "windows", self.buckets, lies_so=True)
@@ -168,7 +168,8 @@ def drop_repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRA
     columns are not read.
     """
     d = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST).cast("long"))
-    cuts = sorted(set(docs.where(F.col("doc_id").isNotNull()).select(d.alias("d")).stat.approxQuantile("d", [i / batches for i in range(1, batches)], 0.01)))
+    at = [i / batches for i in range(1, batches)]
+    cuts = sorted(set(docs.where(F.col("doc_id").isNotNull()).select(d.alias("d")).stat.approxQuantile("d", at, 0.01))) if at else []
     edges = [None, *map(int, cuts), None]
     index, out = FingerprintIndex(docs.sparkSession, length, gram), None
     for low, high in zip(edges, edges[1:], strict=False):

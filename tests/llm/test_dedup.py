@@ -78,6 +78,20 @@ def test_history_is_not_shuffled(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_hot_sources(spark, monkeypatch):
+    """Spans of a source that very many documents repeat are dealt over its copies."""
+    seen = []
+    monkeypatch.setattr(anchors, "hot_list", lambda df, k: seen.append(common.hot_list(df, k)) or seen[-1])
+    shared = " ".join(f"common{i}" for i in range(60))
+    rows = [(i, f"begin{i} {shared} end{i}", "en", "s0", 1) for i in range(300)]
+    docs = documents(spark, rows, extra=False)
+    out = substring_dedup.drop_repeated_windows(docs, batches=1)
+    same([(r.doc_id, r.n_words, r.n_removed, bytes(r.kept)) for r in out.collect()], windows_by_force(rows, 50))
+    out = suffix_dedup.drop_repeated_substrings(docs)
+    same([(r.doc_id, r.n_bytes, r.n_removed, bytes(r.kept)) for r in out.collect()], [(d, b, g, k) for d, b, g, _, k in bytes_by_force(rows, 200)])
+    assert len(seen) == 2 and all(seen)
+
+
 def test_rows_of_no_or_equal_ids_are_told_apart(spark):
     """Texts whose 32-bit hashes are equal, in rows without a doc_id, and in rows that share one."""
     text = lambda j: f"t{j} " + " ".join(f"{j}w{k}" for k in range(60))
