@@ -32,13 +32,13 @@ def blend(a: Column, b: Column, u: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: x + (y - x) * u)
 
 
-def hermite(p0: Column, p1: Column, m0: Column, m1: Column, u: Column) -> Column:
-    """Cubic Hermite value at u in [0, 1]; tangents per interval."""
-    return (2 * u * u * u - 3 * u * u + 1) * p0 + (u * u * u - 2 * u * u + u) * m0 + (3 * u * u - 2 * u * u * u) * p1 + (u * u * u - u * u) * m1
+def hermite(p0: Column, p1: Column, m0: Column, m1: Column, u: Column, h: Column | float = 1.0) -> Column:
+    """Cubic Hermite value at u in [0, 1]; tangents per interval, or per unit of an interval h long, multiplied last."""
+    return (2 * u * u * u - 3 * u * u + 1) * p0 + (u * u * u - 2 * u * u + u) * m0 * h + (3 * u * u - 2 * u * u * u) * p1 + (u * u * u - u * u) * m1 * h
 
 
-def hermite_velocity(p0: Column, p1: Column, m0: Column, m1: Column, u: Column) -> Column:
-    return (6 * u * u - 6 * u) * p0 + (3 * u * u - 4 * u + 1) * m0 + (6 * u - 6 * u * u) * p1 + (3 * u * u - 2 * u) * m1
+def hermite_velocity(p0: Column, p1: Column, m0: Column, m1: Column, u: Column, h: Column | float = 1.0) -> Column:
+    return (6 * u * u - 6 * u) * p0 + (3 * u * u - 4 * u + 1) * m0 * h + (6 * u - 6 * u * u) * p1 + (3 * u * u - 2 * u) * m1 * h
 
 
 def smoothstep(x: Column) -> Column:

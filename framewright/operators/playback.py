@@ -60,8 +60,8 @@ def evaluate(curve: DataFrame, at: DataFrame) -> DataFrame:
     u = (F.col("tau") - F.col("p.time")) / h
     parts = F.arrays_zip(F.col("p.q").alias("p0"), F.col("p.next_q").alias("p1"), F.col("p.m").alias("m0"), F.col("p.next_m").alias("m1"))
     held = F.col("p").isNull() | F.col("p.next_q").isNull() | ((F.col("p.k") == 1) & (F.col("tau") <= F.col("p.time")))
-    q = F.transform(parts, lambda z: V.hermite(z["p0"], z["p1"], z["m0"] * h, z["m1"] * h, u))
-    v = F.transform(parts, lambda z: V.hermite_velocity(z["p0"], z["p1"], z["m0"] * h, z["m1"] * h, u) / h)
+    q = F.transform(parts, lambda z: V.hermite(z["p0"], z["p1"], z["m0"], z["m1"], u, h))
+    v = F.transform(parts, lambda z: V.hermite_velocity(z["p0"], z["p1"], z["m0"], z["m1"], u, h) / h)
     still = F.transform("first", lambda x: x * 0)
     return both.select("chunk", "tau", F.when(held, F.coalesce("p.q", "first")).otherwise(q).alias("q"), F.when(held, still).otherwise(v).alias("v"))
 

@@ -152,3 +152,24 @@ def test_stream_equals_batch(spark, tmp_path):
     sf = "/root/testdata/sf0.001"
     key = lambda rows: sorted(map(tuple, rows))
     assert key(extra_queries.streamed_follower(spark, sf).collect()) == key(playback_queries.chunk_follower(spark, sf).collect())
+
+
+def summed_in_order(folder):
+    """DuckDB over the events of a folder, its running sums taken from left to right."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("SET debug_window_mode='separate'")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet'")
+    return con
+
+
+def test_ticks_are_the_doubles_of_the_sql(spark):
+    """Unrounded: on a tie of decimals the last bit chooses the side, so operations must come in the SQL's order."""
+    from framewright.plans import playback_queries as Q
+
+    folder = "/root/testdata/sf0.01"
+    sql = f"WITH {Q.S.USERS}, {Q._TICKS} SELECT episode, tau::DOUBLE, q, v FROM pv"
+    ours = {(r.chunk, r.tau): (r.q[0], r.v[0]) for r in Q._ticks(spark, folder).collect()}
+    theirs = {(e, tau): (q, v) for e, tau, q, v in summed_in_order(folder).execute(sql).fetchall()}
+    assert len(ours) > 10000 and {k for k in ours.keys() | theirs.keys() if ours.get(k) != theirs.get(k)} == set()
