@@ -11,18 +11,18 @@ them is sorted for all, and the bytes of the others are compared with that one's
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .anchors import _columns, block_rows, claims_of, numbered, removed, spans_of
+from .anchors import _columns, block_rows, claims_of, mix, numbered, removed, spans_of
 from .common import discard, hot_keys, materialize, tidy
 
 LENGTH, GRAM = 200, 32
-#: Windows to a slice of a hot anchor's block, and suffixes that a bucket sorts at once (a group stays whole).
+#: Windows to a slice of a hot anchor's block, and suffixes that a bucket sorts at once (a larger group in parts).
 SLICE, SORTED_AT_ONCE = 16, 150_000
 FRAGMENT = "lead long, a long, slice int, row long, s0 int, body binary"
 
@@ -76,41 +76,64 @@ def fragments(texts: DataFrame, marks: DataFrame, length: int) -> DataFrame:
 def equal_suffixes(bodies: list[bytes], group: np.ndarray, length: int) -> list[np.ndarray]:
     """For each body the offsets whose next `length` bytes also start at another place of its group.
 
-    Multikey quicksort with digits of 8 bytes, all segments of a round at once: a segment is parted in three by the
-    digit of its middle element, the middle part goes on to the next digit, and a suffix that is left alone is in its
-    place and has no equal. The segments that come to the end of `length` bytes hold equal suffixes.
+    Many suffixes are sorted in parts of about SORTED_AT_ONCE, or one large group takes an executor's memory: a hash of
+    their first and last 8 bytes deals them, so equal suffixes are in one part.
     """
     size = np.fromiter(map(len, bodies), np.int64, len(bodies))
     starts = np.concatenate(([0], np.cumsum(size)[:-1]))
-    buffer = np.frombuffer(b"".join(bodies) + b"\0" * 8, np.uint8)
-    digits = np.zeros(len(buffer) - 7, np.uint64)
-    for j in range(8):
-        digits = (digits << np.uint64(8)) | buffer[j : len(buffer) - 7 + j]
+    eights = np.lib.stride_tricks.sliding_window_view(np.frombuffer(b"".join(bodies) + b"\0" * 8, np.uint8), 8)
     windows = size - length + 1
-    place = np.repeat(starts - np.concatenate(([0], np.cumsum(windows)[:-1])), windows) + np.arange(windows.sum())
-    segment, depth = np.repeat(group, windows), np.zeros(len(place), np.int64)
-    equal = []
+    first, total = np.cumsum(windows) - windows, int(windows.sum())
+
+    def digits(place: np.ndarray) -> np.ndarray:
+        return eights[place].view(">u8").ravel().astype(np.uint64)
+
+    def places(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        body = np.searchsorted(first, numbers, side="right") - 1
+        return numbers + (starts - first)[body], group[body]
+
+    parts = min(max(1, total // SORTED_AT_ONCE), 1 << 16)
+    dealt = []
+    for at in range(0, total, SORTED_AT_ONCE) if parts > 1 else ():
+        place, _ = places(np.arange(at, min(at + SORTED_AT_ONCE, total)))
+        dealt.append((mix(digits(place) + mix(digits(place + length - 8))) % np.uint64(parts)).astype(np.uint16))
+    if dealt:
+        part = np.concatenate(dealt)
+        numbers = np.split(np.argsort(part, kind="stable"), np.cumsum(np.bincount(part, minlength=parts))[:-1])
+    else:
+        numbers = [np.arange(total)]
+    equal = [place for own in numbers for place in _sorted_equal(*places(own), digits, length)]
+    place = np.sort(np.concatenate(equal)) if equal else np.empty(0, np.int64)
+    body = np.searchsorted(starts, place, side="right") - 1
+    cuts = np.searchsorted(body, np.arange(1, len(bodies)))
+    return [p - s for p, s in zip(np.split(place, cuts), starts, strict=True)]
+
+
+def _sorted_equal(place: np.ndarray, segment: np.ndarray, digits: Callable[[np.ndarray], np.ndarray], length: int) -> Iterator[np.ndarray]:
+    """Those of the places whose suffix has an equal one in its segment.
+
+    Multikey quicksort with digits of 8 bytes, all segments of a round at once: a segment is parted in three by the
+    digit of its middle element, the middle part goes on to the next digit, and a suffix that is left alone is in its
+    place and has no equal. The segments that come to the end of `length` bytes hold equal suffixes.
+    """
+    depth = np.zeros(len(place), np.int64)
     while len(place):
         new = np.concatenate(([True], segment[1:] != segment[:-1]))
         alone = new & np.append(new[1:], True)
         done = ~alone & (depth >= length)
-        equal.append(place[done])
+        yield place[done]
         place, segment, depth = (x[~(alone | done)] for x in (place, segment, depth))
         if not len(place):
             break
         first = np.flatnonzero(np.concatenate(([True], segment[1:] != segment[:-1])))
         count = np.diff(np.append(first, len(place)))
-        digit = digits[place + np.minimum(depth, length - 8)]
+        digit = digits(place + np.minimum(depth, length - 8))
         pivot = np.repeat(digit[first + count // 2], count)
         side = 1 + (digit > pivot).astype(np.int64) - (digit < pivot)
         segment = 3 * np.repeat(np.arange(len(first)), count) + side
         depth = depth + 8 * (side == 1)
         order = np.argsort(segment, kind="stable")
         place, segment, depth = place[order], segment[order], depth[order]
-    place = np.sort(np.concatenate(equal)) if equal else np.empty(0, np.int64)
-    body = np.searchsorted(starts, place, side="right") - 1
-    cuts = np.searchsorted(body, np.arange(1, len(bodies)))
-    return [p - s for p, s in zip(np.split(place, cuts), starts, strict=True)]
 
 
 def runs(offsets: np.ndarray, length: int) -> list[tuple[int, int]]:

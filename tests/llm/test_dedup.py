@@ -2,6 +2,7 @@
 
 import os
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -161,6 +162,19 @@ def test_equal_suffixes():
         assert found[i].tolist() == [k for k in range(len(b) - 11) if others[b[k : k + 12]] > 1]
 
 
+def test_large_groups_are_sorted_in_parts():
+    rng = np.random.default_rng(3)
+    middle = b"g" * 32
+    bodies = [rng.integers(97, 123, 168, dtype=np.uint8).tobytes() + middle + rng.integers(97, 123, 168, dtype=np.uint8).tobytes() for _ in range(6_000)]
+    bodies[17] = bodies[4_321][:260] + bodies[17][260:]
+    tracemalloc.start()
+    found = suffix_dedup.equal_suffixes(bodies, np.zeros(len(bodies), np.int64), 200)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {i: f.tolist() for i, f in enumerate(found) if len(f)} == {17: list(range(61)), 4_321: list(range(61))}
+    assert most < 60e6  # a million suffixes sorted at once take 105 MB
+
+
 def test_anchors_do_not_depend_on_the_place(monkeypatch):
     """Equal windows have equal anchors and offsets, in any sequence and also across pieces."""
     monkeypatch.setattr(anchors, "PIECE", 64)
